@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .conversations import conversations
 from .splitting import split_documents
 from .tokenizer import encode_corpus
 
@@ -12,6 +14,15 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p5_found(spark, sf):
+    return conversations(_table(spark, sf, "session_lines")).select("root_uuid", "seq_no", "uuid")
+
+
+def p5_roles(spark, sf):
+    told = conversations(_table(spark, sf, "session_lines"))
+    return told.groupBy("role").agg(F.count("*").alias("n_turns"), F.countDistinct("root_uuid").alias("n_conversations"))
+
+
 def p7_ids(spark, sf):
     return encode_corpus(_table(spark, sf, "documents"))
 
@@ -20,5 +31,31 @@ def p9_pieces(spark, sf):
     return split_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p9_pieces)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p5_found, p5_roles, p7_ids, p9_pieces)}
+
+_TURNS = r"""
+WITH RECURSIVE lines AS (
+  SELECT uuid, nullif(parent_uuid, '') AS parent, coalesce(is_sidechain, false) AS sidechain, row_id, ingested_at,
+    CASE WHEN regexp_full_match(trim(ts), '\d+') THEN make_timestamp(CAST(trim(ts) AS BIGINT) * 1000)
+         WHEN regexp_matches(trim(ts), '^\d{4}-') THEN CAST(TRY_CAST(CASE WHEN regexp_matches(trim(ts), '(Z|[+-]\d\d:\d\d)$') THEN trim(ts) ELSE trim(ts) || 'Z' END AS TIMESTAMPTZ) AS TIMESTAMP) END AS t,
+    CASE WHEN coalesce(message.role, '') = '' THEN line_type ELSE lower(trim(message.role)) END AS role,
+    coalesce(regexp_matches(message.content, '[^\s\x0b\x1c-\x1f\x85\p{Z}]'), false)
+      OR len(list_filter(coalesce(message.blocks, []), lambda b: coalesce((b.block_type = 'text' AND regexp_matches(b.text, '[^\s\x0b\x1c-\x1f\x85\p{Z}]')) OR b.block_type IN ('tool_use', 'tool_result'), false))) > 0 AS filled
+  FROM session_lines WHERE uuid IS NOT NULL AND uuid <> ''),
+turns AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY t DESC NULLS LAST, ingested_at DESC NULLS LAST, row_id DESC) AS rn FROM lines)
+  WHERE rn = 1 AND NOT sidechain),
+followed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY t DESC NULLS LAST, uuid DESC) AS k FROM turns WHERE parent IS NOT NULL) WHERE k = 1),
+told AS (
+  SELECT uuid AS root, uuid, 1 AS seq_no, role, filled FROM turns WHERE parent IS NULL
+  UNION ALL
+  SELECT told.root, f.uuid, told.seq_no + 1, f.role, f.filled FROM followed f JOIN told ON f.parent = told.uuid),
+kept AS (
+  SELECT root FROM told GROUP BY root
+  HAVING bool_and(filled AND role = CASE WHEN seq_no % 2 = 1 THEN 'user' ELSE 'assistant' END) AND max(seq_no) % 2 = 0)
+"""
+
+ORACLES = {
+    "p5_found": _TURNS + "SELECT root AS root_uuid, CAST(seq_no AS INTEGER) AS seq_no, uuid FROM told WHERE root IN (SELECT root FROM kept)",
+    "p5_roles": _TURNS + "SELECT role, count(*) AS n_turns, count(DISTINCT root) AS n_conversations FROM told WHERE root IN (SELECT root FROM kept) GROUP BY role",
+}
