@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .canonical import LEADS, MARKED, PLAIN, TRAILS, K, map_values
 from .conversations import conversations
+from .leakage import leaks
 from .splitting import split_documents
 from .tokenizer import encode_corpus
 
@@ -23,15 +27,33 @@ def p5_roles(spark, sf):
     return told.groupBy("role").agg(F.count("*").alias("n_turns"), F.countDistinct("root_uuid").alias("n_conversations"))
 
 
+def p6_found(spark, sf):
+    return map_values(_table(spark, sf, "topics"), _table(spark, sf, "topic_reference"))
+
+
+def p6_unmatched(spark, sf):
+    topics = _table(spark, sf, "topics")
+    none = map_values(topics, _table(spark, sf, "topic_reference")).where("canon_id = -1")
+    return topics.join(none, "topic_id", "left_semi").groupBy("name", "normalized_name").agg(F.count("*").alias("n_topics"))
+
+
 def p7_ids(spark, sf):
     return encode_corpus(_table(spark, sf, "documents"))
 
 
+def p8_found(spark, sf):
+    return leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).where("run_words >= 13").select("doc_id", "item_id")
+
+
+def p8_leaks(spark, sf):
+    return leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+
+
 def p9_pieces(spark, sf):
     return split_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_roles, p7_ids, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_roles, p6_found, p6_unmatched, p7_ids, p8_found, p8_leaks, p9_pieces)}
 
 _TURNS = r"""
 WITH RECURSIVE lines AS (
@@ -55,7 +77,61 @@ kept AS (
   HAVING bool_and(filled AND role = CASE WHEN seq_no % 2 = 1 THEN 'user' ELSE 'assistant' END) AND max(seq_no) % 2 = 0)
 """
 
+
+
+def _clean(c: str) -> str:
+    flat = f"translate(lower(regexp_replace({c}, '\\pM', '', 'g')), '{MARKED}', '{PLAIN}')"
+    bare = f"regexp_replace(trim(regexp_replace({flat}, '[^a-z0-9]+', ' ', 'g')), '^(({'|'.join(LEADS)}) )+', '')"
+    return f"replace(regexp_replace({bare}, '( ({'|'.join(TRAILS)}))+$', ''), ' ', '|')"
+
+
+def _variants(n: int) -> str:
+    """The spellings of entries of n words as a list expression over w (words) and p (plurals)."""
+    orders = {2: ("12", "21", "2of1"), 3: ("123", "132", "213", "231", "312", "321", "3of21")}[n]
+    forms = []
+    for plural in range(n + 1):
+        word = {str(i): f"{'p' if i == plural else 'w'}[{i}]" for i in range(1, n + 1)}
+        forms += ["concat(" + ", ".join("'of'" if x == "of" else word[x] for x in re.findall("of|.", o)) + ")" for o in orders]
+    return "[" + ", ".join(forms) + "]"
+
+
+_CANONICAL = f"""
+WITH named AS (
+  SELECT canon_id, {_clean('normalized_name')} AS words FROM topic_reference
+  UNION SELECT canon_id, {_clean('label')} FROM topic_reference
+  UNION SELECT canon_id, {_clean('alias')} FROM (SELECT canon_id, unnest(aliases) AS alias FROM topic_reference)),
+split AS (
+  SELECT canon_id, w, [CASE WHEN x LIKE '%y' THEN x[:-2] || 'ies' ELSE x || 's' END FOR x IN w] AS p
+  FROM (SELECT canon_id, string_split(words, '|') AS w FROM named WHERE words <> '')),
+forms AS (
+  SELECT form, min(canon_id) AS canon_id FROM (
+    SELECT canon_id, unnest({_variants(2)}) AS form FROM split WHERE len(w) = 2
+    UNION ALL SELECT canon_id, unnest({_variants(3)}) FROM split WHERE len(w) = 3
+    UNION ALL SELECT canon_id, array_to_string(w, '') FROM split) GROUP BY form),
+typed AS (
+  SELECT DISTINCT topic_id, replace(v, '|', '') AS s
+  FROM (SELECT topic_id, unnest([{_clean('name')}, {_clean('normalized_name')}]) AS v FROM topics) WHERE v <> ''),
+near AS (
+  SELECT s, form, canon_id, levenshtein(s, form) AS far FROM (SELECT DISTINCT s FROM typed WHERE s NOT IN (SELECT form FROM forms)) v
+  JOIN forms ON length(form) >= 10 AND abs(length(form) - length(s)) <= {K}),
+matches AS (
+  SELECT form AS s, canon_id, 0 AS far FROM forms
+  UNION ALL
+  SELECT s, canon_id, far FROM near WHERE far <= 2
+    OR (far = 3 AND list_bool_or([levenshtein(s[1:i-1] || s[i+1:i+1] || s[i:i] || s[i+2:], form) <= 1 FOR i IN range(1, length(s))]))
+    OR (far = 4 AND list_sort(string_split(s, '')) = list_sort(string_split(form, '')))),
+hit AS (SELECT topic_id, arg_min(canon_id, far * 100000 + canon_id) AS canon_id FROM typed JOIN matches USING (s) GROUP BY topic_id)
+"""
+
+_GRAMS = """
+SELECT DISTINCT {id}, array_to_string(ws[i:i+12], ' ') AS gram
+FROM (SELECT {id}, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM {table}) WHERE len(ws) >= 13)
+"""
+
 ORACLES = {
+    "p6_found": _CANONICAL + "SELECT DISTINCT t.topic_id, CAST(coalesce(hit.canon_id, -1) AS INTEGER) AS canon_id FROM topics t LEFT JOIN hit ON hit.topic_id = t.topic_id",
+    "p6_unmatched": _CANONICAL + "SELECT name, normalized_name, count(*) AS n_topics FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM hit) GROUP BY name, normalized_name",
+    "p8_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) d JOIN ({_GRAMS.format(id='item_id', table='eval_items')}) i ON d.gram = i.gram",
     "p5_found": _TURNS + "SELECT root AS root_uuid, CAST(seq_no AS INTEGER) AS seq_no, uuid FROM told WHERE root IN (SELECT root FROM kept)",
     "p5_roles": _TURNS + "SELECT role, count(*) AS n_turns, count(DISTINCT root) AS n_conversations FROM told WHERE root IN (SELECT root FROM kept) GROUP BY role",
 }
