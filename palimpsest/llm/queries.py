@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .canonical import LEADS, MARKED, PLAIN, TRAILS, K, map_values
 from .conversations import conversations
 from .leakage import leaks
+from .neighbours import neighbours
 from .splitting import split_documents
 from .tokenizer import encode_corpus
 
@@ -18,6 +19,16 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p2_found(spark, sf):
+    near = neighbours(_table(spark, sf, "concept_vectors"), min_cosine=0.85)
+    return near.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
+
+
+def p2_knn(spark, sf):
+    near = neighbours(_table(spark, sf, "concept_vectors"), queries=F.col("id") % 50 == 0)
+    return near.select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), "similarity", "rank")
+
+
 def p5_found(spark, sf):
     return conversations(_table(spark, sf, "session_lines")).select("root_uuid", "seq_no", "uuid")
 
@@ -53,7 +64,7 @@ def p9_pieces(spark, sf):
     return split_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_roles, p6_found, p6_unmatched, p7_ids, p8_found, p8_leaks, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p5_found, p5_roles, p6_found, p6_unmatched, p7_ids, p8_found, p8_leaks, p9_pieces)}
 
 _TURNS = r"""
 WITH RECURSIVE lines AS (
@@ -123,12 +134,23 @@ matches AS (
 hit AS (SELECT topic_id, arg_min(canon_id, far * 100000 + canon_id) AS canon_id FROM typed JOIN matches USING (s) GROUP BY topic_id)
 """
 
-_GRAMS = """
+_GRAMS = r"""
 SELECT DISTINCT {id}, array_to_string(ws[i:i+12], ' ') AS gram
 FROM (SELECT {id}, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM {table}) WHERE len(ws) >= 13)
 """
 
+_COSINES = """
+WITH ok AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM concept_vectors
+  WHERE len(embedding) = 64 AND NOT list_bool_or([isnan(x) OR x IS NULL FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+pairs AS (
+  SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM ok a JOIN ok b ON a.vec_id <> b.vec_id {where}),
+best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other_id) AS rank FROM pairs)
+"""
+
 ORACLES = {
+    "p2_found": _COSINES.format(where="") + "SELECT DISTINCT least(vec_id, other_id) AS vec_a, greatest(vec_id, other_id) AS vec_b FROM best WHERE rank <= 5 AND similarity >= 0.85",
+    "p2_knn": _COSINES.format(where="WHERE a.vec_id % 50 = 0") + "SELECT vec_id, other_id, similarity, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 5",
     "p6_found": _CANONICAL + "SELECT DISTINCT t.topic_id, CAST(coalesce(hit.canon_id, -1) AS INTEGER) AS canon_id FROM topics t LEFT JOIN hit ON hit.topic_id = t.topic_id",
     "p6_unmatched": _CANONICAL + "SELECT name, normalized_name, count(*) AS n_topics FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM hit) GROUP BY name, normalized_name",
     "p8_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) d JOIN ({_GRAMS.format(id='item_id', table='eval_items')}) i ON d.gram = i.gram",
