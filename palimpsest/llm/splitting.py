@@ -14,94 +14,129 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizer import DEFAULT, ByteBPE, load, portions
+from .tokenizer import DEFAULT, WHITE, ByteBPE, load, no_collection, portions
 
 CELL, PARAGRAPH, LINE, WORD, OTHER = range(5)
 KINDS = ("cell", "paragraph", "line", "word", "other")
 PENALTY = np.array([0.0, 0.1, 0.25, 1.0, 6.0])
 IMBALANCE = 2.0
 PIECE = 0.5
-_SPACES = re.compile(r"[\s\x85\xa0]+")
-_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+
+
+class _Runs(dict):
+    """Of a run of white space with line ends: its last line end, the kind, and the tokens of the parts before it and after it (without the last character)."""
+
+    def __init__(self, bpe: ByteBPE):
+        self.bpe = bpe
+
+    def size(self, text: str) -> int:
+        return self.bpe.count(text) if text else 0
+
+    def __missing__(self, run: str) -> tuple[int, int, int, int]:
+        ends = [m.end() for m in _BREAK.finditer(run)]
+        p = ends[-1]
+        self[run] = out = (p, PARAGRAPH if len(ends) > 1 else LINE, self.size(run[:p]), self.size(run[p:-1]) if len(run) - p > 1 else 0)
+        return out
 
 
 class _Doc:
-    """One document: token counts up to any position."""
+    """One document: its natural ends, and the token counts of pieces that start or end there."""
 
-    def __init__(self, text: str, words: list[str], bpe: ByteBPE, cells: list[int]):
-        self.text, self.bpe = text, bpe
-        known = bpe.known
-        self.words = words
+    def __init__(self, text: str, words: list[str], bpe: ByteBPE, info: np.ndarray, cells: list[int], runs: _Runs):
+        self.text, self.bpe, self.words = text, bpe, words
         self.pos = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)), out=self.pos[1:])
+        np.cumsum(info & 0x3FFFFFFF, out=self.pos[1:])
         self.sums = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum(np.fromiter(map(len, map(known.__getitem__, words)), dtype=np.int64, count=len(words)), out=self.sums[1:])
-        self.parts: list[tuple[int, int, int, str, str]] = []  # position, place of known sum before, after, text before, text after
-        self._ends(cells)
+        np.cumsum((info >> 30) & 0x3FFFFFFF, out=self.sums[1:])
+        self._ends(info, cells, runs)
 
-    def _at(self, p) -> np.ndarray:
-        return self.sums[np.searchsorted(self.pos, p)]
-
-    def _ends(self, cells: list[int]) -> None:
-        """Collect the natural ends; what must be encoded for them is learned by the caller."""
+    def _ends(self, info: np.ndarray, cells: list[int], memo: _Runs) -> None:
+        """pos_, kind, e (tokens of a piece ending there, counted from the start), s (tokens before a piece starting there)."""
         text, n = self.text, len(self.text)
-        words, breaks = [], {}
-        runs = [m.span() for m in _SPACES.finditer(text)]
-        for a, b in runs:
+        white, starts, breaks = (info >> 60) & 1 == 1, (info >> 61) & 1 == 1, (info >> 62) & 1 == 1
+        opens = starts.copy()
+        opens[1:] &= ~white[:-1]
+        first = np.nonzero(opens)[0]  # pre-tokens at which runs of white space start
+        # the run ends before the first later pre-token that isn't all white, or after that one's leading blank
+        solid = np.nonzero(~white)[0]
+        after = np.searchsorted(solid, first)
+        last = np.where(after < len(solid), solid[np.minimum(after, len(solid) - 1)], len(info)) if len(solid) else np.full(len(first), len(info))
+        lead = np.zeros(len(info) + 1, dtype=np.int64)
+        lead[:-1] = starts & ~white
+        ends = self.pos[last] + lead[last]
+        broken = np.concatenate([[0], np.cumsum(breaks)])
+        has = broken[last] > broken[first]
+        begin = self.pos[first]
+        self.run_starts = begin
+        word = begin[~has]
+        word_tokens = self.sums[first[~has]]
+        ok = (word > 0) & (word < n)
+        word, word_tokens = word[ok], word_tokens[ok]
+        pos, kind, e, s = [], [], [], []
+        ends_in_text = set(c for c in cells if 0 < c < n)
+        sums, place = self.sums, self.pos
+        for i, a, b in zip(first[has].tolist(), begin[has].tolist(), ends[has].tolist()):
             run = text[a:b]
-            if b - a == 1 and run not in "\n\r\x85  ":
-                words.append(a)
+            p, k, before, rest = memo[run]
+            at = a + p
+            if at >= n:
                 continue
-            found = [m.end() for m in _BREAK.finditer(run)]
-            if found:
-                breaks[a + found[-1]] = PARAGRAPH if len(found) > 1 else LINE
-            else:
-                words.append(a)
-        for p in cells:
-            if 0 < p < n:
-                breaks[p] = CELL
-        self.word_ends = np.array([p for p in words if 0 < p < n and p not in breaks], dtype=np.int64)
-        starts = np.array([a for a, _ in runs], dtype=np.int64)
-        self.strong = sorted((p, k) for p, k in breaks.items() if 0 < p < n)
-        for p, _ in self.strong:
-            self.parts.append(self._part(p, starts))
-
-    def _part(self, p: int, run_starts: np.ndarray) -> tuple[int, int, int, str, str]:
-        """How to count tokens before and from ``p``: (p, boundary before, boundary after, text between it and p, text from p to it)."""
-        text = self.text
+            if at in ends_in_text:
+                ends_in_text.discard(at)
+                k = CELL
+            pos.append(at)
+            kind.append(k)
+            e.append(int(sums[i]) + before)
+            s.append((b, rest, at))
+        if pos:
+            b, rest, at = (np.array(x, dtype=np.int64) for x in zip(*s))
+            inner = (b - at > 1) & (b < n)
+            edge = np.where(b - at > 0, b - 1, b)
+            k = np.searchsorted(place, edge)
+            exact = place[np.minimum(k, len(place) - 1)] == edge
+            s = np.where(inner, sums[k] - rest, sums[k])
+            for q in np.nonzero(~exact | ((b == n) & (b > at)))[0].tolist():
+                s[q] = self._before(pos[q])
+        else:
+            s = np.zeros(0, dtype=np.int64)
+        for p in sorted(ends_in_text):
+            pos.append(p)
+            kind.append(CELL)
+            e.append(self._upto(p, memo))
+            s = np.append(s, self._before(p))
+        pos, kind, e = np.array(pos, dtype=np.int64), np.array(kind, dtype=np.int64), np.array(e, dtype=np.int64)
+        clash = np.isin(word, pos) if len(pos) else np.zeros(len(word), dtype=bool)
+        word, word_tokens = word[~clash], word_tokens[~clash]
+        pos = np.concatenate([pos, word])
+        order = np.argsort(pos, kind="stable")
+        self.natural = (
+            pos[order],
+            np.concatenate([kind, np.full(len(word), WORD)])[order],
+            np.concatenate([e, word_tokens])[order],
+            np.concatenate([s, word_tokens])[order],
+        )
+
+    def _before(self, p: int) -> int:
+        """Tokens before a piece that starts at ``p``."""
         k = int(np.searchsorted(self.pos, p))
         end = int(self.pos[k])
-        begin = p if end == p else int(self.pos[k - 1])
-        if text[p - 1].isspace() and len(run_starts):
-            begin = int(run_starts[np.searchsorted(run_starts, p - 1, side="right") - 1])
-        return p, begin, end, text[begin:p], text[p:end]
-
-    def needed(self) -> Iterator[str]:
-        for _, _, _, before, after in self.parts:
-            if before:
-                yield before
-            if after:
-                yield after
-
-    def _counts(self) -> tuple[np.ndarray, ...]:
-        """All natural ends: position, kind, tokens of a piece ending there (E), tokens before a piece starting there (S)."""
-        known = self.bpe.known
-        size = lambda s: len(known[s]) if s else 0
-        p = np.array([x[0] for x in self.parts], dtype=np.int64)
-        kind = np.array([k for _, k in self.strong], dtype=np.int64)
-        e = self._at([x[1] for x in self.parts]) + np.array([size(x[3]) for x in self.parts], dtype=np.int64) if self.parts else np.zeros(0, dtype=np.int64)
-        s = self._at([x[2] for x in self.parts]) - np.array([size(x[4]) for x in self.parts], dtype=np.int64) if self.parts else np.zeros(0, dtype=np.int64)
-        w = self._at(self.word_ends) if len(self.word_ends) else np.zeros(0, dtype=np.int64)
-        pos = np.concatenate([p, self.word_ends])
-        order = np.argsort(pos, kind="stable")
-        return pos[order], np.concatenate([kind, np.full(len(w), WORD)])[order], np.concatenate([e, w])[order], np.concatenate([s, w])[order]
+        return int(self.sums[k]) - (self.bpe.count(self.text[p:end]) if end > p else 0)
+
+    def _upto(self, p: int, memo: _Runs) -> int:
+        """Tokens from the start of the text to a piece's end at ``p``."""
+        k = int(np.searchsorted(self.pos, p))
+        begin = p if int(self.pos[k]) == p else int(self.pos[k - 1])
+        if self.text[p - 1] in WHITE:
+            begin = int(self.run_starts[np.searchsorted(self.run_starts, p - 1, side="right") - 1])
+        k = int(np.searchsorted(self.pos, begin))
+        return int(self.sums[k]) + memo.size(self.text[begin:p])
 
     def _hard(self, low: int, high: int, every: int = 16) -> list[tuple[int, int]]:
         """(position, tokens before) between two token counts, where nothing natural stands."""
@@ -126,7 +161,7 @@ class _Doc:
     def split(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """(start, end, tokens, tokens shared with the piece before, kind of the cut at the end)."""
         total = int(self.sums[-1])
-        pos, kind, e, s = self._counts()
+        pos, kind, e, s = self.natural
         strong = kind < WORD
         gap = 96
         edges = np.concatenate([[0], e[strong], [total]])
@@ -159,20 +194,10 @@ class _Doc:
         fine = np.concatenate([[0.0], PENALTY[ck], [0.0]]) + PIECE
         parts = max(1, -(-(total - overlap) // (limit - overlap)))
         even = (total + overlap * (parts - 1)) / parts
-        best = np.full(n + 2, np.inf)
-        best[0] = 0.0
-        back = np.zeros(n + 2, dtype=np.int64)
-        low = np.searchsorted(begin, ends - limit, side="left")
         scale = IMBALANCE / limit**2 * 4
-        for j in range(1, n + 2):
-            a = int(low[j])
-            if a >= j:
-                continue
-            size = ends[j] - begin[a:j] - even
-            cost = best[a:j] + scale * size * size
-            k = int(cost.argmin())
-            best[j] = cost[k] + fine[j]
-            back[j] = a + k
+        best, back = self._cheapest(begin, ends, fine, even, limit, scale, min(limit // 2, int(0.75 * even)))
+        if not np.isfinite(best[-1]):
+            best, back = self._cheapest(begin, ends, fine, even, limit, scale, 1)
         if not np.isfinite(best[-1]):
             return []
         cuts, j = [], n + 1
@@ -188,6 +213,35 @@ class _Doc:
             i = j
         return out
 
+    @staticmethod
+    def _cheapest(begin: np.ndarray, ends: np.ndarray, fine: np.ndarray, even: float, limit: int, scale: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cost of the cheapest split up to each cut and the cut before it; all pieces but the last have ``least`` tokens or more."""
+        n = len(ends)
+        best = np.full(n, np.inf)
+        best[0] = 0.0
+        back = np.zeros(n, dtype=np.int64)
+        low = np.searchsorted(begin, ends - limit, side="left")
+        high = np.minimum(np.searchsorted(begin, ends - least, side="right"), np.arange(n))
+        high[-1] = n - 1
+        upto = np.searchsorted(high, np.arange(n), side="right").tolist()  # cuts whose predecessors all lie before this one
+        lows, highs, j = low.tolist(), high.tolist(), 1
+        while j < n:
+            m = max(j + 1, min(upto[j], n))
+            a, b = lows[j], highs[m - 1]
+            if m == n and highs[-1] > j:
+                m = max(j + 1, n - 1)
+                b = highs[m - 1]
+            if b > a:
+                size = ends[j:m, None] - begin[None, a:b] - even
+                cost = best[a:b] + scale * size * size
+                at = np.arange(a, b)
+                cost[(at < low[j:m, None]) | (at >= high[j:m, None])] = np.inf
+                k = cost.argmin(axis=1)
+                best[j:m] = cost[np.arange(m - j), k] + fine[j:m]
+                back[j:m] = a + k
+            j = m
+        return best, back
+
     def pieces(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """As :meth:`split`; where cuts fall within long pre-tokens, sizes are counted again and the limit lowered until they hold."""
         tight = limit
@@ -195,10 +249,10 @@ class _Doc:
             found = self.split(tight, overlap)
             if found and not any(x[4] == OTHER for x in found):
                 return found
-            exact = [(a, b, len(self.bpe.ids([self.text[a:b]])[0]), o, k) for a, b, _, o, k in found]
+            exact = [(a, b, self.bpe.count(self.text[a:b]), o, k) for a, b, _, o, k in found]
             if exact and all(x[2] <= limit for x in exact):
                 return [
-                    (a, b, n, len(self.bpe.ids([self.text[a : found[i - 1][1]]])[0]) if i and a < found[i - 1][1] else 0, k) for i, (a, b, n, _, k) in enumerate(exact)
+                    (a, b, n, self.bpe.count(self.text[a : found[i - 1][1]]) if i and a < found[i - 1][1] else 0, k) for i, (a, b, n, _, k) in enumerate(exact)
                 ]
             tight -= max(8, limit // 32)
             if tight <= max(2 * overlap, limit // 2):
@@ -221,23 +275,31 @@ def split_documents(
     kind = rows.schema[0].dataType.simpleString()
     names = [id_col, "piece_no", "start_pos", "end_pos", "n_tokens", "overlap_tokens", "cut", "text"]
 
+    def cut(bpe: ByteBPE, memo: _Runs, texts: list[str], cells: list[list[int]]) -> tuple[list[int], list[list]]:
+        row, cols = [], [[] for _ in names[1:]]
+        for k, (text, words) in enumerate(zip(texts, bpe.encode(texts))):
+            info = np.fromiter(map(bpe.shape.__getitem__, words), dtype=np.int64, count=len(words))
+            if int(((info >> 30) & 0x3FFFFFFF).sum()) <= max_tokens:
+                continue
+            d = _Doc(text, words, bpe, info, [x for x in cells[k] or [] if x is not None], memo)
+            for i, (start, end, n, shared, kind) in enumerate(d.pieces(max_tokens, overlap)):
+                row.append(k)
+                for c, v in zip(cols, (i + 1, start, end, n, shared, KINDS[kind] if end < len(text) else "end", text[start:end])):
+                    c.append(v)
+        return row, cols
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
+        if bpe.shape is None:
+            bpe.known.clear()
+            bpe.shape = {}
+        memo = _Runs(bpe)
         for batch in batches:
             texts, cells = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in portions(texts, 2_000_000):
-                split = bpe.encode(texts[a:b])
-                big = [k for k, words in enumerate(split) if sum(map(len, map(bpe.known.__getitem__, words))) > max_tokens]
-                made = [_Doc(texts[a + k], split[k], bpe, [x for x in cells[a + k] or [] if x is not None]) for k in big]
-                bpe.learn(set(chain.from_iterable(d.needed() for d in made)))
-                row, cols = [], [[] for _ in names[1:]]
-                for k, d in zip(big, made):
-                    found = d.pieces(max_tokens, overlap)
-                    row += [a + k] * len(found)
-                    for i, (start, end, n, shared, cut) in enumerate(found):
-                        for c, v in zip(cols, (i + 1, start, end, n, shared, KINDS[cut] if end < len(d.text) else "end", d.text[start:end])):
-                            c.append(v)
-                ids = batch.column(0).take(pa.array(row, type=pa.int64()))
+                with no_collection():
+                    row, cols = cut(bpe, memo, texts[a:b], cells[a:b])
+                ids = batch.column(0).take(pa.array([a + k for k in row], type=pa.int64()))
                 arrays = [pa.array(c, type=pa.int32()) for c in cols[:5]] + [pa.array(c, type=pa.string()) for c in cols[5:]]
                 yield pa.RecordBatch.from_arrays([ids, *arrays], names)
 

@@ -10,9 +10,11 @@ task remembers it.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -25,6 +27,9 @@ DEFAULT = "/opt/tokenizers/byte_bpe_50k.json"
 #: The tokenizer's own split pattern (fixed value), and the same for texts that are all ASCII.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ANY = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+#: White space and line ends of the pattern's character classes (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BREAKS = frozenset("\n\x0b\x0c\r\x85\u2028\u2029")
 NONE = np.int32(2**30)
 LONGEST = 64  # pre-tokens of more bytes have a tree of their own
 REMEMBER = 300_000
@@ -52,7 +57,7 @@ def _bmp() -> re.Pattern:
 def pretokens(text: str) -> list[str]:
     if text.isascii():
         return _ASCII.findall(text)
-    return (_bmp() if max(text) < "\U00010000" else _ANY).findall(text)
+    return (_bmp() if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else _ANY).findall(text)
 
 
 class ByteBPE:
@@ -77,6 +82,7 @@ class ByteBPE:
         b = self.byte_id.astype(np.int64)
         self.first = self._rank(np.repeat(b, 256), np.tile(b, 256)).reshape(256, 256)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.shape: dict[str, int] | None = None  # filled where a caller wants it
         byte = {c: b for b, c in char.items()}
         self._text = {i: bytes(byte[c] for c in w) for w, i in vocab.items() if all(c in byte for c in w)}
 
@@ -212,20 +218,44 @@ class ByteBPE:
                 part = group[k : k + 20_000]
                 for (w, _), ids in zip(part, self._trees([r for _, r in part], leaves)):
                     self.known[w] = ids
+        if self.shape is not None:
+            for w in todo:
+                flags = 0
+                if w[0] in WHITE:
+                    flags = 2 if w.strip(WHITE) else 3 if BREAKS.isdisjoint(w) else 7
+                self.shape[w] = len(w) | len(self.known[w]) << 30 | flags << 60
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """The pre-tokens of each text, all of them known afterwards."""
         if len(self.known) > REMEMBER:
             self.known.clear()
+            if self.shape is not None:
+                self.shape.clear()
         split = [pretokens(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
         return split
 
+    def count(self, text: str) -> int:
+        """Tokens of one text; forgets nothing that is known."""
+        words = pretokens(text)
+        self.learn(set(words))
+        return sum(len(self.known[w]) for w in words)
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         known = self.known.__getitem__
         return [list(chain.from_iterable(map(known, p))) for p in self.encode(texts)]
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without the cycle collector: millions of short-lived tuples and no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 @lru_cache(maxsize=4)
 def load(path: str = DEFAULT) -> ByteBPE:
     return ByteBPE(path)
@@ -257,7 +287,8 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in portions(texts, 4_000_000):
-                found = bpe.ids([t or "" for t in texts[a:b]])
+                with no_collection():
+                    found = bpe.ids([t or "" for t in texts[a:b]])
                 offsets = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in found], out=offsets[1:])
                 flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
