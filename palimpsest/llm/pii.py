@@ -19,9 +19,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..scratch import Scratch
 
@@ -35,6 +34,7 @@ _EMAIL = re.compile(
     rf"|(?:[^\W_][\w+-]*{_DOT})*[^\W_][\w+-]*{_AT}(?:[^\W_](?:[\w-]*[^\W_])?{_DOT})+[^\W\d_]{{2,}}(?![\w-])",
     re.I,
 )
+_DIGIT = re.compile(r"\d")
 _EMAIL_HINT = re.compile(r"@|\(at\)|\[at\]| at ", re.I)
 
 # -- phone ------------------------------------------------------------------
@@ -56,7 +56,7 @@ _LABEL = (
     r"(?:[ -](?:card|id|identification|number|no|nr|num))*"
 )
 _VALUE = (
-    r"(?:\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{2} \d{3} \d{3} \d{3}|[A-Z](?:-\d{3}){3}|\d{6}/\d{3,4}|\d{2}-\d{7}"
+    r"(?:\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2}( ?)\d{2}\2\d{2}\2\d{2}\2[A-Z](?![\w-])|\d{2} \d{3} \d{3} \d{3}|[A-Z](?:-\d{3}){3}|\d{6}/\d{3,4}|\d{2}-\d{7}"
     r"|[A-Z]\d{2}[A-Z]\d{5}|[A-Z]{0,2}\d{6,12}[A-Z]?|(?=[A-Z0-9/-]*\d{3})[A-Z0-9]+(?:[-/][A-Z0-9]+)*)"
 )
 _ID = re.compile(rf"\b{_LABEL}[\"']?(?:[ ]?[.:=#][ ]?|[ ]is[ ]|[ ])(?:#|no\.?[ ]?)?[\"'(]?({_VALUE})(?![\w-])", re.I)
@@ -66,15 +66,34 @@ _SSN = re.compile(r"(?<![\w.+/-])\d{3}([- ])\d{2}\1\d{4}(?![\w-]|[.,/]\d)")
 _TYPE = r"(?:street|str|st|avenue|ave|road|rd|lane|ln|way|drive|dr|boulevard|blvd|court|ct|place|pl|square|sq|terrace|close|crescent|parkway|pkwy|row|walk|hill)"
 _UNIT = r"(?:flat|apt|apartment|suite|unit|ste|no|#)"
 _STREET_WORD = r"[^\W\d_][^\W\d_'’-]*"
-_ADDRESS = re.compile(
-    rf"(?<![\w.-])(?:{_UNIT}\.?[ ]?\d+[a-z]?,?[ ])?\d{{1,5}}[a-z]?,?[ ](?:[NSEW]\.?[ ]|[NS][EW]\.?[ ])?"
-    rf"(?:{_STREET_WORD}|(?-i:[A-Z]{_STREET_WORD}(?:[ ][A-Z]{_STREET_WORD}){{1,2}}))[ ]{_TYPE}(?![\w-])\.?(?:,?[ ]{_UNIT}\.?[ ]?\d+[a-z]?(?!\w))?"
-    rf"|(?<![\w.-])(?:{_UNIT}\.?[ ]?\d+[a-z]?,?[ ])?(?:"
+_SUFFIX = rf"(?:,?[ ]{_UNIT}\.?[ ]?\d+[a-z]?(?!\w))?"
+_NUMBER = re.compile(r"(?<![\w.-])\d{1,5}[A-Za-z]?(?![\w-]|[.:/]\d)")
+#: From the house number on, and what a flat before it looks like.
+_HOUSE_FIRST = re.compile(
+    rf"\d+[a-z]?,?[ ](?:[NSEW]\.?[ ]|[NS][EW]\.?[ ])?(?:{_STREET_WORD}|(?-i:[A-Z]{_STREET_WORD}(?:[ ][A-Z]{_STREET_WORD}){{1,2}}))[ ]{_TYPE}(?![\w-])\.?{_SUFFIX}", re.I
+)
+_FLAT = re.compile(rf"(?<![\w.-]){_UNIT}\.?[ ]?\d+[a-z]?,?[ ]$", re.I)
+#: Up to the house number, where it stands last.
+_HOUSE_LAST = re.compile(
+    rf"(?<![\w.-])(?:{_UNIT}\.?[ ]?\d+[a-z]?,?[ ])?(?:"
     rf"(?:via|viale|piazza|corso|calle|avenida|plaza|paseo|rue|avenue|boulevard|place|rua|ulica)(?:[ ](?:de la|de los|de las|de|del|della|des|du|da|do|la|le|el))?(?:[ ](?-i:[A-Z]){_STREET_WORD}){{1,3}}"
     rf"|{_STREET_WORD}(?:strasse|straße|str\.|weg|gasse|platz|allee|ufer|damm|ring|straat|laan|gatan|vej|veien)"
-    rf"),?[ ]\d{{1,4}}[a-z]?(?![\w-]|[.,]\d)(?:,?[ ]{_UNIT}\.?[ ]?\d+[a-z]?(?!\w))?",
+    rf"),?[ ]$",
     re.I,
 )
+_TAIL = re.compile(_SUFFIX, re.I)
+_LONGEST_NAME = 90
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    for m in _NUMBER.finditer(text):
+        if first := _HOUSE_FIRST.match(text, m.start()):
+            flat = _FLAT.search(text, max(0, m.start() - 20), m.start())
+            yield flat.start() if flat else m.start(), first.end()
+        elif text[m.start() - 1 : m.start()] == " " and len(m[0].rstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")) <= 4:
+            if street := _HOUSE_LAST.search(text, max(0, m.start() - _LONGEST_NAME), m.start()):
+                yield street.start(), _TAIL.match(text, m.end()).end()
+
 
 # -- names ------------------------------------------------------------------------
 #: English words that are also names: they count in a name's surroundings or beside another name only.
@@ -103,12 +122,8 @@ _BEFORE = re.compile(
 )
 _WEAK = frozenset(("i am", "per", "ask", "from", "this is", "owner", "contact:", "talk to", "hi", "hello", "hey", "dear", "cc:", "name:"))
 _AFTER = re.compile(r"[ ]?(?:,[ ]who\b|,[ ]two years|:[ ]do not|owns\b|signed it\b|about the\b|first\b|\(see\b|,[ ]see below|,[ ]thanks|on the fix|today\b|wrote\b|said\b|reported\b|joined\b|left the\b)|[ ]?[!.]?(?:$|\n)|\.[ ]", re.I)
+_OWNS = re.compile(rf"(?<![\w@.-])({_FULL})[ ](?:owns this|signed it off)\b")
 _THANKS = re.compile(rf"(?:--|—|–)[ ]?({_PART}(?:[ ]{_PART})?)(?![\w@])")
-_CUE = re.compile(
-    r"reviewed by|signed|approved by|written by|reported by|paired with|talk to|spoke to|assigned to|blame says|good catch|my name is|i am|regards,|cheers,|sincerely,|yours,|dear |hi |hello |hey |"
-    r"thank|contact:|name:|cc:|per |ask |from |this is|owner|owns|author|reviewer|\bby ",
-    re.I,
-)
 _STOP = frozenset(
     "the a an i it we you he she they this that these those my our your his her their what why how when where who which there here no not yes ok let lets can could would should did do done does is are was were "
     "and or but if then so because for from to in on at by of with per ask talk dear hi hello hey thanks thank kind best regards cheers owner author contact cc re fwd dr mr mrs ms prof sir row form fax tel call text "
@@ -140,14 +155,14 @@ class Finder:
         if _EMAIL_HINT.search(text):
             for m in _EMAIL.finditer(text):
                 take(*m.span(), EMAIL)
-        if any(c.isdigit() for c in text):
+        if _DIGIT.search(text):
             for m in _ID.finditer(text):
                 if sum(c.isdigit() for c in m[1]) >= 4:
                     take(*m.span(1), ID)
             for m in _SSN.finditer(text):
                 take(*m.span(), ID)
-            for m in _ADDRESS.finditer(text):
-                take(*m.span(), ADDRESS)
+            for span in _addresses(text):
+                take(*span, ADDRESS)
             for m in _PHONE.finditer(text):
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     take(*m.span(), PHONE)
@@ -158,21 +173,24 @@ class Finder:
         return sorted(taken)
 
     def _names(self, text: str, take) -> None:
-        if _CUE.search(text):
-            for m in _LASTFIRST.finditer(text):
-                a, b = m[1].split(", ", 1)
-                if self.known(a, False) or self.known(b, False) or m[0].lower().startswith("assigned"):
-                    take(*m.span(1), NAME)
-            for m in _BEFORE.finditer(text):
-                self._cued(text, m, take)
-            for m in _THANKS.finditer(text):
-                parts = m[1].split(" ")
-                good = [self.known(p, False) for p in parts]
-                if good[0]:
-                    end = m.end(1) if len(parts) > 1 and (good[1] or parts[1][0].islower()) else m.start(1) + len(parts[0])
-                    take(m.start(1), end, NAME)
-                elif len(parts) > 1 and good[1] and parts[0].lower() not in _STOP:
-                    take(*m.span(1), NAME)
+        for m in _LASTFIRST.finditer(text):
+            a, b = m[1].split(", ", 1)
+            if self.known(a, False) or self.known(b, False) or m[0].lower().startswith("assigned"):
+                take(*m.span(1), NAME)
+        for m in _BEFORE.finditer(text):
+            self._cued(text, m, take)
+        for m in _THANKS.finditer(text):
+            parts = m[1].split(" ")
+            good = [self.known(p, False) for p in parts]
+            if good[0]:
+                end = m.end(1) if len(parts) > 1 and (good[1] or parts[1][0].islower()) else m.start(1) + len(parts[0])
+                take(m.start(1), end, NAME)
+            elif len(parts) > 1 and good[1] and parts[0].lower() not in _STOP:
+                take(*m.span(1), NAME)
+        for m in _OWNS.finditer(text):
+            words = m[1].split(" ")
+            if words[0].lower() not in _STOP and (len(words) > 1 or words[0].lower() not in COMMON):
+                take(*m.span(1), NAME)
         for m in _TITLED.finditer(text):
             words = m[1].split(" ")
             if words[0].lower().strip(".") not in _STOP:
@@ -245,3 +263,239 @@ _FOLD = str.maketrans("àáâãäåāçčèéêëēìíîïīñòóôõöōøù
 
 def _plain(word: str) -> str:
     return word.translate(_FOLD)
+
+
+# -- over tables ----------------------------------------------------------------------
+
+#: Known name parts are sent to every task, so their number is bounded.
+MAX_NAME_PARTS = 1_000_000
+
+
+def name_parts(names: DataFrame | None) -> dict[str, str]:
+    """word -> kind of a table of name parts (word, word_kind), which must be of bounded size."""
+    if names is None:
+        return {}
+    n = names.count()
+    if n > MAX_NAME_PARTS:
+        raise ValueError(f"{n} name parts; at most {MAX_NAME_PARTS} are supported")
+    return {w: k or "given" for w, k in sorted((tuple(r) for r in names.select("word", "word_kind").where("word is not null").collect()), key=str)}
+
+
+def message_texts(lines: DataFrame | None, quotes: DataFrame | None) -> DataFrame:
+    """src, rec_id, block_no, text: the free texts of session lines and quotes, null and empty ones left out."""
+    parts = []
+    if lines is not None:
+        block = F.transform("message.blocks", lambda b, i: F.struct((i + 1).cast("int").alias("no"), b["text"].alias("text")))
+        all_ = F.concat(F.array(F.struct(F.lit(0).alias("no"), F.col("message.content").alias("text"))), F.coalesce(block, F.array().cast("array<struct<no:int,text:string>>")))
+        parts.append(lines.select(F.lit("session_lines").alias("src"), F.col("row_id").alias("rec_id"), F.explode(F.filter(all_, lambda b: b["text"] != "")).alias("b")).select("src", "rec_id", F.col("b.no").alias("block_no"), "b.text"))
+    if quotes is not None:
+        parts.append(quotes.where("text <> ''").select(F.lit("quotes").alias("src"), F.col("quote_id").alias("rec_id"), F.lit(0).alias("block_no"), "text"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _finder(parts: dict[str, str]) -> Finder:
+    return _held(tuple(parts.items()))
+
+
+@lru_cache(maxsize=2)
+def _held(items: tuple) -> Finder:
+    return Finder(dict(items))
+
+
+def find_pii(texts: DataFrame, names: DataFrame | None) -> DataFrame:
+    """src, rec_id, block_no, kind, found, start_pos, end_pos: every piece of personal data, as it stands in the text.
+
+    Texts are read whole, however long; null and empty ones hold nothing.  Repeated rows are each
+    searched; an empty table gives no rows.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(name_parts(names))
+    columns = ["src", "rec_id", "block_no", "kind", "found", "start_pos", "end_pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(sent.value)
+        for batch in batches:
+            rows, out = [], []
+            for k, text in enumerate(batch.column(3).to_pylist()):
+                for a, b, kind in finder.find(text):
+                    rows.append(k)
+                    out.append((kind, text[a:b], a, b))
+            at = pa.array(rows, type=pa.int64())
+            cols = list(zip(*out)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], columns)
+
+    return texts.select("src", "rec_id", "block_no", "text").mapInArrow(run, "src string, rec_id bigint, block_no int, kind string, found string, start_pos int, end_pos int")
+
+
+def with_placeholders(texts: DataFrame, names: DataFrame | None) -> DataFrame:
+    """src, rec_id, block_no, text: each piece replaced by a placeholder of its type such as [EMAIL], the rest unchanged."""
+    sent = texts.sparkSession.sparkContext.broadcast(name_parts(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(sent.value)
+        for batch in batches:
+            out = [replace(t, [(a, b, f"[{kind.upper()}]") for a, b, kind in finder.find(t)]) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.string())], ["src", "rec_id", "block_no", "text"])
+
+    return texts.select("src", "rec_id", "block_no", "text").mapInArrow(run, "src string, rec_id bigint, block_no int, text string")
+
+
+def replace(text: str | None, spans: Iterable[tuple[int, int, str]]) -> str | None:
+    out, last = [], 0
+    for a, b, new in sorted(spans):
+        out += [text[last:a], new]
+        last = b
+    return text if not out else "".join(out) + text[last:]
+
+
+# -- surrogates -------------------------------------------------------------------------
+
+_SPELT = re.compile(r"[ ]?\((?:at|dot)\)[ ]?|[ ]?\[(?:at|dot)\][ ]?|[ ](?:at|dot)[ ]", re.I)
+_KEPT = re.compile(rf"(?:{_TYPE}|{_UNIT}|[nsew]|via|viale|piazza|corso|calle|avenida|plaza|rue|de|la|del|della|des|du|da)$", re.I)
+_ENDING = re.compile(r"(strasse|straße|str|weg|gasse|platz|allee|ufer|damm|ring|straat|laan|gatan|vej|veien)$", re.I)
+
+
+def entity(kind: str, found: str) -> str:
+    """What a mention refers to, however it is written."""
+    if kind == EMAIL:
+        return _SPELT.sub(lambda m: "@" if "at" in m[0].lower() else ".", found).lower()
+    if kind == PHONE:
+        return re.sub(r"\D", "", found)
+    if kind == ID:
+        return re.sub(r"[^0-9a-z]", "", found.lower())
+    if kind == NAME and ", " in found:
+        last, first = found.split(", ", 1)
+        found = f"{first} {last}"
+    return _plain(" ".join(found.lower().split()))
+
+
+class _Stream:
+    """Keyed numbers for one entity and attempt."""
+
+    def __init__(self, key: bytes, *of: object):
+        self.key, self.of, self.n, self.left = key, "\x1f".join(map(str, of)).encode(), 0, b""
+
+    def below(self, n: int) -> int:
+        if len(self.left) < 4:
+            self.left += hmac.new(self.key, self.of + self.n.to_bytes(4, "big"), hashlib.sha256).digest()
+            self.n += 1
+        x, self.left = self.left[:4], self.left[4:]
+        return int.from_bytes(x, "big") % n
+
+
+def _letters(word: str, s: _Stream) -> str:
+    """Another word of the same length, script and case: vowels for vowels, consonants for consonants, digits for digits."""
+    out = []
+    for c in word:
+        low = c.lower()
+        if c.isdigit() and c.isascii():
+            new = str(s.below(10))
+        elif low in "aeiou":
+            new = "aeiou"[s.below(5)]
+        elif "a" <= low <= "z":
+            new = "bcdfghjklmnprstvwz"[s.below(18)]
+        elif c.isalpha():
+            base = ord(c) & ~0x0F
+            near = [chr(x) for x in range(base, base + 16) if chr(x).isalpha() and chr(x).isupper() == c.isupper()]
+            new = near[s.below(len(near))] if near else c
+        else:
+            new = c
+        out.append(new.upper() if c.isupper() else new)
+    return "".join(out)
+
+
+def surrogate(kind: str, of: str, attempt: int, key: bytes, parts: dict[str, list[str]]) -> str:
+    """A replacement for an entity, in the canonical form of :func:`entity`."""
+    s = _Stream(key, kind, of, attempt)
+    if kind == EMAIL:
+        head, _, last = of.rpartition(".")
+        return f"{_letters(head, s)}.{last}"
+    if kind == PHONE:
+        keep = 1 if len(of) == 11 and of[0] == "1" else 3 if of.startswith("00") else 0
+        return of[:keep] + _letters(of[keep:], s)
+    if kind == ID:
+        return _letters(of, s)
+    if kind == ADDRESS:
+        return " ".join(w if _KEPT.match(w.strip(".,")) else (lambda m: _letters(w[: m.start()], s) + w[m.start() :] if m and m.start() else _letters(w, s))(_ENDING.search(w)) for w in of.split(" "))
+    words = of.split(" ")
+    out = []
+    for i, w in enumerate(words):
+        new = []
+        for p in w.split("-"):
+            pool = parts["given" if i == 0 and len(words) > 1 or parts["kind"].get(p) == "given" else "family"]
+            if len(p.strip(".")) < 2 or not pool or attempt > 1 or not p.isascii():
+                new.append(_letters(p, s))
+            else:
+                new.append(pool[s.below(len(pool))])
+        out.append("-".join(new))
+    return " ".join(out)
+
+
+def render(kind: str, found: str, new: str) -> str:
+    """A surrogate in the format of a mention: its separators, order and case."""
+    if kind == NAME:
+        words = new.split(" ")
+        if ", " in found:
+            n = len(found.split(", ", 1)[1].split(" "))
+            text = f"{' '.join(words[n:])}, {' '.join(words[:n])}"
+        else:
+            text = new
+        return text.upper() if found.isupper() else text if found.islower() else re.sub(r"(?:^|(?<=[ -]))[^\W\d_]", lambda m: m[0].upper(), text)
+    if kind == EMAIL:
+        marks = [m[0] for m in _SPELT.finditer(found)]
+        if marks:
+            spelt = {("at" in m.lower()): m for m in marks}
+            new = "".join(spelt.get(c == "@", c) if c in "@." else c for c in new)
+        return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new)) if len(found) == len(new) else new
+    if kind == ADDRESS:
+        return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new)) if len(found) == len(new) else new
+    fill = iter(new)
+    return "".join((lambda n: n.upper() if c.isupper() else n)(next(fill, c)) if c.isalnum() and c.isascii() else c for c in found)
+
+
+def surrogates(found: DataFrame, names: DataFrame | None, key: str, rounds: int = 12) -> DataFrame:
+    """kind, entity, surrogate: one replacement for each entity of ``found`` (kind, entity), all of them distinct.
+
+    A replacement that two entities would share, or that is itself an entity of the texts, goes to the
+    smallest entity or to none; the others try the next keyed one.
+    """
+    spark = found.sparkSession
+    scratch = Scratch(spark, "surrogates")
+    kinds = name_parts(names)
+    pools = {k: sorted({w.lower() for w, x in kinds.items() if x == k}) for k in ("given", "family")} | {"kind": {w.lower(): k for w, k in kinds.items()}}
+    sent = spark.sparkContext.broadcast((key.encode(), pools))
+    entities = scratch.save(found.select("kind", "entity").distinct())
+
+    def tried(df: DataFrame, attempt: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            secret, parts = sent.value
+            for b in batches:
+                new = [surrogate(k, e, attempt, secret, parts) for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], ["kind", "entity", "surrogate"])
+
+        return df.mapInArrow(run, "kind string, entity string, surrogate string")
+
+    done, left = None, entities
+    for attempt in range(rounds):
+        made = scratch.save(tried(left, attempt))
+        first = Window.partitionBy("kind", "surrogate").orderBy("entity")
+        free = made.join(entities.withColumnRenamed("entity", "surrogate"), ["kind", "surrogate"], "left_anti")
+        if done is not None:
+            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        free = scratch.save(free.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at").select("kind", "entity", "surrogate"))
+        done = free if done is None else scratch.save(done.unionByName(free))
+        left = scratch.save(left.join(free, ["kind", "entity"], "left_anti"))
+        if left.isEmpty():
+            return done
+    rest = left.withColumn("surrogate", F.concat(F.lit("entity-"), F.md5(F.concat_ws("|", F.lit(key), "kind", "entity"))))
+    return done.unionByName(rest)
+
+
+def with_surrogates(texts: DataFrame, names: DataFrame | None, key: str) -> DataFrame:
+    """src, rec_id, block_no, text: each piece replaced by its entity's surrogate in the mention's own format."""
+    scratch = Scratch(texts.sparkSession, "pseudonyms")
+    entity_of = F.udf(entity, "string")
+    spans = scratch.save(find_pii(texts, names).withColumn("entity", entity_of("kind", "found")))
+    mapped = spans.join(surrogates(spans, names, key), ["kind", "entity"])
+    marks = mapped.groupBy("src", "rec_id", "block_no").agg(F.collect_set(F.struct("start_pos", "end_pos", "kind", "found", "surrogate")).alias("marks"))
+    rebuilt = F.udf(lambda t, ms: replace(t, [(m[0], m[1], render(m[2], m[3], m[4])) for m in ms or ()]), "string")
+    return texts.join(marks, ["src", "rec_id", "block_no"], "left").select("src", "rec_id", "block_no", F.when(F.col("marks").isNull(), F.col("text")).otherwise(rebuilt("text", "marks")).alias("text"))

@@ -11,6 +11,7 @@ from .canonical import LEADS, MARKED, PLAIN, TRAILS, K, map_values
 from .conversations import conversations
 from .leakage import leaks
 from .neighbours import neighbours
+from .pii import find_pii, message_texts, with_placeholders, with_surrogates
 from .splitting import split_documents
 from .tokenizer import encode_corpus
 
@@ -29,6 +30,23 @@ def p2_knn(spark, sf):
     return near.select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), "similarity", "rank")
 
 
+def _messages(spark, sf):
+    return message_texts(_table(spark, sf, "session_lines"), _table(spark, sf, "quotes"))
+
+
+def p4_found(spark, sf):
+    found = find_pii(_messages(spark, sf), _table(spark, sf, "name_parts"))
+    return found.select("src", "rec_id", "block_no", "kind", "found").distinct()
+
+
+def p4_placeholders(spark, sf):
+    return with_placeholders(_messages(spark, sf), _table(spark, sf, "name_parts"))
+
+
+def p4_surrogates(spark, sf):
+    return with_surrogates(_messages(spark, sf), _table(spark, sf, "name_parts"), key="p4")
+
+
 def p5_found(spark, sf):
     return conversations(_table(spark, sf, "session_lines")).select("root_uuid", "seq_no", "uuid")
 
@@ -64,7 +82,7 @@ def p9_pieces(spark, sf):
     return split_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p5_found, p5_roles, p6_found, p6_unmatched, p7_ids, p8_found, p8_leaks, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p4_found, p4_placeholders, p4_surrogates, p5_found, p5_roles, p6_found, p6_unmatched, p7_ids, p8_found, p8_leaks, p9_pieces)}
 
 _TURNS = r"""
 WITH RECURSIVE lines AS (
