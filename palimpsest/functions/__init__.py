@@ -1 +1 @@
-
+"""Scalar and predicate functions as Column expressions."""

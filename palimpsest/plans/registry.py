@@ -1,6 +1,7 @@
 """All queries of the core, and their DuckDB equivalents."""
 
-from . import training
+from . import graph_queries, search_queries, training, transcript_queries
 
-QUERIES = {**training.QUERIES}
-ORACLES = {**training.ORACLES}
+_PARTS = (training, graph_queries, search_queries, transcript_queries)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLES = {k: s for p in _PARTS for k, s in p.ORACLES.items()}
