@@ -26,8 +26,8 @@ def concepts(spark: SparkSession, sf: str) -> DataFrame:
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """src, rel_type, dst between concept ids; set semantics, both ends exist."""
     c = concepts(spark, sf)
-    one = c.agg((F.max("concept_id") + 1).alias("n"))
-    ids = c.select("concept_id", "name", "invalidated_by").crossJoin(F.broadcast(one))  # one row
+    n = (c.agg(F.max("concept_id")).first()[0] or 0) + 1
+    ids = c.select("concept_id", "name", "invalidated_by", F.lit(n).cast("bigint").alias("n"))
     links = ids.select(
         F.col("concept_id").alias("src"),
         F.explode(

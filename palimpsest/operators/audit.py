@@ -71,6 +71,5 @@ def propose_links(orphans: DataFrame, nearest: DataFrame, per_node: int, thresho
 def rollback(edges: DataFrame, run: str | None = None) -> DataFrame:
     """Edges without those of a run, by default of the latest one."""
     if run is None:
-        latest = edges.agg(F.max("run").alias("latest"))
-        return edges.crossJoin(F.broadcast(latest)).where("run is null or latest is null or run <> latest").drop("latest")  # one row
-    return edges.where(F.col("run").isNull() | (F.col("run") != run))
+        run = edges.agg(F.max("run")).first()[0]
+    return edges if run is None else edges.where(F.col("run").isNull() | (F.col("run") != run))

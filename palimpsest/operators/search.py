@@ -161,21 +161,22 @@ def fuse(keyword: DataFrame, vector: DataFrame, query: str, alpha: float = 0.4,
 def average(text: DataFrame, vector: DataFrame, key: str) -> DataFrame:
     """Score-average fusion of (key, score) lists: the mean where both have it; a vector hit alone counts 0.8 if there is any text hit."""
     a, b = text.select(key, F.col("score").alias("ft")), vector.select(key, F.col("score").alias("vec"))
-    some = text.agg((F.count("*") > 0).alias("some"))
-    both = a.join(b, key, "full_outer").crossJoin(F.broadcast(some))  # one row
-    alone = F.col("vec") * F.when(F.col("some"), 0.8).otherwise(1.0)
+    both = a.join(b, key, "full_outer")
+    alone = F.col("vec") * F.lit(1.0 if text.isEmpty() else 0.8)
     return both.select(key, F.when(F.col("ft").isNotNull() & F.col("vec").isNotNull(), (F.col("ft") + F.col("vec")) / 2).otherwise(F.coalesce("ft", alone)).alias("score"))
 
 
 def cascade(tiers: list[DataFrame]) -> DataFrame:
-    """Ordered union of tiers (name, rank): the first tier that has a name (case aside) places it; position from 1."""
+    """Ordered union of tiers (name, rank): name, tier, rank of the first tier that has a name (case aside).
+
+    :func:`top` over tier, rank and name gives the first places.
+    """
     all_ = None
     for i, t in enumerate(tiers):
         t = t.select("name", F.lit(i).alias("tier"), "rank")
         all_ = t if all_ is None else all_.unionByName(t)
     first = all_.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("tier", "rank", "name")).alias("v"))
-    order = Window.orderBy("v.tier", "v.rank", "v.name")
-    return first.select("v.name", "v.tier", F.row_number().over(order).alias("position"))
+    return first.select("v.name", "v.tier", "v.rank")
 
 
 def ranked_metrics(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:

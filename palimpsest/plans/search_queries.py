@@ -174,8 +174,8 @@ def trigger_first(spark, sf):
     t = model.table(spark, sf, "topics").select("topic_id", F.lower("name").alias("said")).where("said is not null")
     r = model.table(spark, sf, "topic_reference").select("canon_id", "normalized_name")
     # every stretch of as many letters as a pattern has is looked up, so that no pair of a text and a pattern is formed
-    sizes = r.select(F.length("normalized_name").alias("n")).distinct().agg(F.array_sort(F.collect_set("n")).alias("ns"))  # at most one entry per pattern length
-    grams = t.crossJoin(F.broadcast(sizes)).select("topic_id", "said", F.explode("ns").alias("n")).where("n <= length(said)")
+    sizes = [x.n for x in r.select(F.length("normalized_name").alias("n")).where("n is not null").distinct().collect()]  # one per pattern length
+    grams = t.select("topic_id", "said", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where("n <= length(said)")
     grams = grams.select("topic_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("said") - F.col("n") + 1), lambda i: F.substring(F.col("said"), i, F.col("n")))).alias("normalized_name"))
     return grams.join(r, "normalized_name").groupBy("topic_id").agg(F.min("canon_id").alias("canon_id"))
 

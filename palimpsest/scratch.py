@@ -6,12 +6,15 @@ reading it back: the files survive the loss of an executor, which a local checkp
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -28,6 +31,37 @@ def base_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def clean_up() -> None:
+    """Delete what the running sessions wrote, as far as they still can."""
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session may have ended
+            pass
+    _written.clear()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in enough partitions for all cores, where a table comes in few files that can't be split.
+
+    Tables that already come in twice as many partitions as there are cores are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    run = df._jdf.queryExecution()
+    if df.isStreaming or "Exchange" in run.executedPlan().toString():
+        return df
+    if run.toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(3 * cores, F.xxhash64(*by))
+
+
 class Scratch:
     """Tables of one operator call, written to the shared folder under a name of their own."""
 
@@ -35,6 +69,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{base_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        _written.append((spark, self.path))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the written table; its plan no longer depends on ``df``."""
@@ -47,6 +82,4 @@ class Scratch:
         """Delete the files of a table that no later plan reads."""
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if self.path.rsplit("/", 1)[1] in name:
-                jvm = self.spark.sparkContext._jvm
-                at = jvm.org.apache.hadoop.fs.Path(name)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                _delete(self.spark, name)

@@ -46,8 +46,7 @@ def fresh(cache: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
 
 
 def csv_markdown(header: list[str], rows: DataFrame) -> DataFrame:
-    """A table's rows as padded markdown lines, with the header's at=0 and the rule's at=1."""
-    wide = rows.agg(*[F.greatest(F.lit(len(h)), F.coalesce(F.max(F.length(h)), F.lit(0))).alias(h) for h in header])
+    """A table's rows as markdown lines, padded to the widest cell of each column."""
+    wide = rows.agg(*[F.greatest(F.lit(len(h)), F.coalesce(F.max(F.length(h)), F.lit(0))).alias(h) for h in header]).first()
     line = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
-    body = rows.crossJoin(F.broadcast(wide.select(*[F.col(h).alias(f"_{h}") for h in header])))  # one row
-    return body.select(line([F.rpad(F.coalesce(h, F.lit("")), F.col(f"_{h}"), " ") for h in header]).alias("line"))
+    return rows.select(line([F.rpad(F.coalesce(h, F.lit("")), wide[h], " ") for h in header]).alias("line"))
