@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, spread
 
 EMAIL, PHONE, ID, ADDRESS, NAME = KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 
@@ -323,7 +323,7 @@ def find_pii(texts: DataFrame, names: DataFrame | None) -> DataFrame:
             cols = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], columns)
 
-    return texts.select("src", "rec_id", "block_no", "text").mapInArrow(run, "src string, rec_id bigint, block_no int, kind string, found string, start_pos int, end_pos int")
+    return spread(texts.select("src", "rec_id", "block_no", "text"), "rec_id", "text").mapInArrow(run, "src string, rec_id bigint, block_no int, kind string, found string, start_pos int, end_pos int")
 
 
 def with_placeholders(texts: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -336,7 +336,7 @@ def with_placeholders(texts: DataFrame, names: DataFrame | None) -> DataFrame:
             out = [replace(t, [(a, b, f"[{kind.upper()}]") for a, b, kind in finder.find(t)]) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.string())], ["src", "rec_id", "block_no", "text"])
 
-    return texts.select("src", "rec_id", "block_no", "text").mapInArrow(run, "src string, rec_id bigint, block_no int, text string")
+    return spread(texts.select("src", "rec_id", "block_no", "text"), "rec_id", "text").mapInArrow(run, "src string, rec_id bigint, block_no int, text string")
 
 
 def replace(text: str | None, spans: Iterable[tuple[int, int, str]]) -> str | None:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import spread
 from .tokenizer import DEFAULT, WHITE, ByteBPE, load, no_collection, portions
 
 CELL, PARAGRAPH, LINE, WORD, OTHER = range(5)
@@ -242,6 +243,18 @@ class _Doc:
             j = m
         return best, back
 
+    def _forced(self, limit: int) -> list[tuple[int, int, int, int, int]]:
+        """Without any usable cuts: as many characters at a time as fit, none shared."""
+        out, start, n = [], 0, len(self.text)
+        while start < n:
+            low, high = 1, min(n - start, 8 * limit)
+            while low < high:  # the most characters within the limit
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if self.bpe.count(self.text[start : start + middle]) <= limit else (low, middle - 1)
+            out.append((start, start + low, self.bpe.count(self.text[start : start + low]), 0, OTHER))
+            start += low
+        return out
+
     def pieces(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """As :meth:`split`; where cuts fall within long pre-tokens, sizes are counted again and the limit lowered until they hold."""
         tight = limit
@@ -256,7 +269,7 @@ class _Doc:
                 ]
             tight -= max(8, limit // 32)
             if tight <= max(2 * overlap, limit // 2):
-                raise ValueError("no split within the limit")
+                return self._forced(limit)
 
 
 def split_documents(
@@ -303,4 +316,4 @@ def split_documents(
                 arrays = [pa.array(c, type=pa.int32()) for c in cols[:5]] + [pa.array(c, type=pa.string()) for c in cols[5:]]
                 yield pa.RecordBatch.from_arrays([ids, *arrays], names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, piece_no int, start_pos int, end_pos int, n_tokens int, overlap_tokens int, cut string, text string")
+    return spread(rows, id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, piece_no int, start_pos int, end_pos int, n_tokens int, overlap_tokens int, cut string, text string")

@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..scratch import spread
+
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.json"
 #: The tokenizer's own split pattern (fixed value), and the same for texts that are all ASCII.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -294,4 +296,4 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [id_col, "ids"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(rows, id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
