@@ -148,7 +148,7 @@ matches AS (
   UNION ALL
   SELECT s, canon_id, far FROM near WHERE far <= 2
     OR (far = 3 AND list_bool_or([levenshtein(s[1:i-1] || s[i+1:i+1] || s[i:i] || s[i+2:], form) <= 1 FOR i IN range(1, length(s))]))
-    OR (far = 4 AND list_sort(string_split(s, '')) = list_sort(string_split(form, '')))),
+    OR (far <= 4 AND list_sort(string_split(s, '')) = list_sort(string_split(form, '')))),
 hit AS (SELECT topic_id, arg_min(canon_id, far * 100000 + canon_id) AS canon_id FROM typed JOIN matches USING (s) GROUP BY topic_id)
 """
 
