@@ -127,7 +127,7 @@ _THANKS = re.compile(rf"(?:--|—|–)[ ]?({_PART}(?:[ ]{_PART})?)(?![\w@])")
 _STOP = frozenset(
     "the a an i it we you he she they this that these those my our your his her their what why how when where who which there here no not yes ok let lets can could would should did do done does is are was were "
     "and or but if then so because for from to in on at by of with per ask talk dear hi hello hey thanks thank kind best regards cheers owner author contact cc re fwd dr mr mrs ms prof sir row form fax tel call text "
-    "whatsapp reach pick ship site address ssn passport national id identity tax driver social please running open commit ticket build elapsed checksum good reviewed signed paired blame also now".split()
+    "whatsapp reach pick ship site address ssn passport national id identity tax driver social please running open all team everyone folks customer reader madam commit ticket build elapsed checksum good reviewed signed paired blame also now".split()
 )
 
 
@@ -164,7 +164,8 @@ class Finder:
             for span in _addresses(text):
                 take(*span, ADDRESS)
             for m in _PHONE.finditer(text):
-                if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+                n = sum(c.isdigit() for c in m[0])
+                if (11 if m[0].startswith("00") and m[0].isdigit() else 9) <= n <= 15:
                     take(*m.span(), PHONE)
             for m in _SHORT_PHONE.finditer(text):
                 if 7 <= sum(c.isdigit() for c in m[1]) <= 15:
@@ -208,20 +209,28 @@ class Finder:
             keep = k + 1
         return m.start(1) + len(" ".join(words[:keep]))
 
+    def _foreign(self, words: list[str]) -> bool:
+        """Whether the last of several words rather starts what follows the name."""
+        last = words[-1].lower()
+        if re.split("['’]", last)[0] in _STOP:
+            return True
+        whole = [w for w in words if not w.endswith(".") and w not in ("van", "von", "de", "del", "di", "da")]
+        return len(whole) > 2 and not self.known(last)
+
     def _cued(self, text: str, m: re.Match, take) -> None:
         words = m[1].split(" ")
         if words[0].lower() in _STOP:
             return
-        keep = [w for w in words]
-        while len(keep) > 1 and (keep[-1].lower() in _STOP or (len(keep) > 2 and not self.known(keep[-1], False) and self.known(keep[-2], False))):
+        keep = list(words)
+        while len(keep) > 1 and self._foreign(keep):
             keep.pop()
         name = " ".join(keep)
         end = m.start(1) + len(name)
         cue = text[m.start() : m.start(1)].strip().lower()
         parts = [w for w in keep if len(w) > 2 or not w.endswith(".")]
-        if any(self.known(p) for p in parts) or (cue not in _WEAK) or (len(parts) >= 2 and (any(self.known(p, False) for p in parts) or _AFTER.match(text, end))):
+        if any(self.known(p) for p in parts) or (cue not in _WEAK) or (len(parts) >= 2 and (cue == "this is" or any(self.known(p, False) for p in parts) or _AFTER.match(text, end))):
             take(m.start(1), end, NAME)
-        elif len(parts) == 1 and self.known(parts[0], False) and _AFTER.match(text, end):
+        elif len(parts) == 1 and (self.known(parts[0], False) and _AFTER.match(text, end) or cue in ("hi", "hello", "hey", "dear") and text[end : end + 1] == "," and name.lower() not in COMMON):
             take(m.start(1), end, NAME)
 
     def _known_runs(self, m: re.Match) -> Iterator[tuple[int, int]]:
