@@ -41,7 +41,7 @@ def apply_merges(concepts: DataFrame, merges: DataFrame, at: Column, run: str) -
     m = merges.groupBy("duplicate").agg(F.min("canonical").alias("merged_into")).withColumnRenamed("duplicate", "concept_id")
     out = concepts.join(m, "concept_id", "left")
     hit = F.col("merged_into").isNotNull() & F.col("expired_at").isNull()
-    return out.withColumn("expired_at", F.when(hit, at).otherwise(F.col("expired_at"))).withColumn("merge_run", F.when(hit, F.lit(run)))
+    return out.withColumn("merge_run", F.when(hit, F.lit(run))).withColumn("expired_at", F.when(hit, at).otherwise(F.col("expired_at")))
 
 
 def undo_merges(concepts: DataFrame, run: str) -> DataFrame:

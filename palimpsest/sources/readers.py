@@ -45,8 +45,8 @@ def fresh(cache: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
     return kept.withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn")
 
 
-def csv_markdown(header: list[str], rows: DataFrame) -> DataFrame:
+def csv_markdown(header: list[str], rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """A table's rows as markdown lines, padded to the widest cell of each column."""
     wide = rows.agg(*[F.greatest(F.lit(len(h)), F.coalesce(F.max(F.length(h)), F.lit(0))).alias(h) for h in header]).first()
     line = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
-    return rows.select(line([F.rpad(F.coalesce(h, F.lit("")), wide[h], " ") for h in header]).alias("line"))
+    return rows.select(*(keep or []), line([F.rpad(F.coalesce(h, F.lit("")), wide[h], " ") for h in header]).alias("line"))
