@@ -145,7 +145,9 @@ def _class_neighbours(scratch: Scratch, classes: DataFrame, asked: DataFrame | N
     """id, other, sim: up to k best other classes of each class (of each asked one)."""
 
     def blocked(df: DataFrame) -> tuple[DataFrame, int]:
-        n = max(1, math.ceil(df.count() / block_rows))
+        rows = df.count()
+        # many vectors go in larger blocks: what is shuffled grows with the number of blocks, and a tile stays within some 200 MB
+        n = max(1, math.ceil(rows / (block_rows if rows <= 32 * block_rows else 3 * block_rows)))
         return _packed(df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), dim), n
 
     packs, n = blocked(classes)
