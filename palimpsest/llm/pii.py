@@ -190,7 +190,7 @@ class Finder:
                 take(*m.span(1), NAME)
         for m in _OWNS.finditer(text):
             words = m[1].split(" ")
-            if words[0].lower() not in _STOP and (len(words) > 1 or words[0].lower() not in COMMON):
+            if words[0].lower() not in _STOP and (len(words) > 1 or words[0].lower() not in COMMON or self.known(words[0], False)):
                 take(*m.span(1), NAME)
         for m in _TITLED.finditer(text):
             words = m[1].split(" ")

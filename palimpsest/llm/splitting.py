@@ -197,7 +197,7 @@ class _Doc:
         even = (total + overlap * (parts - 1)) / parts
         scale = IMBALANCE / limit**2 * 4
         best, back = self._cheapest(begin, ends, fine, even, limit, scale, min(limit // 2, int(0.75 * even)))
-        if not np.isfinite(best[-1]):
+        if not np.isfinite(best[-1]) or best[-1] >= PENALTY[OTHER]:  # small pieces are better than none, and than a cut within a word
             best, back = self._cheapest(begin, ends, fine, even, limit, scale, 1)
         if not np.isfinite(best[-1]):
             return []
