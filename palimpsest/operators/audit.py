@@ -45,10 +45,15 @@ def foreign_majority(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def same_name_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """vec_a, vec_b, similarity, decision: vectors of one name, merged from ``threshold`` on (raw cosine), else held."""
-    a = vectors.select(F.col("vec_id").alias("vec_a"), "name", F.col("embedding").alias("ea"))
+    """vec_a, vec_b, similarity, decision: each further vector of a name against the name's first one (by id).
+
+    From ``threshold`` (raw cosine) on the two are merged, else held.  One row per duplicate: no pairs
+    within a name, however many vectors it has.
+    """
+    first = vectors.where("name is not null").groupBy("name").agg(F.min(F.struct("vec_id", "embedding")).alias("first"))
+    a = first.select("name", F.col("first.vec_id").alias("vec_a"), F.col("first.embedding").alias("ea"))
     b = vectors.select(F.col("vec_id").alias("vec_b"), "name", F.col("embedding").alias("eb"))
-    pairs = a.join(b, "name").where("vec_a < vec_b").withColumn("similarity", F.round(cosine(F.col("ea"), F.col("eb")), 6))
+    pairs = b.join(a, "name").where("vec_a < vec_b").withColumn("similarity", F.round(cosine(F.col("ea"), F.col("eb")), 6))
     return pairs.select("vec_a", "vec_b", "similarity", F.when(F.col("similarity") >= threshold, "merge").otherwise("hold").alias("decision"))
 
 

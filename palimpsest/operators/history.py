@@ -133,6 +133,22 @@ def history(updates: DataFrame, entity: str = "concept_id", **options) -> DataFr
     return versions(updates, entity, **options).where("valid_to is null or valid_to > valid_from")
 
 
+def successor(rows: DataFrame, keys: list[str], at: str, tie: str, name: str, bucket_rows: int = 50_000) -> DataFrame:
+    """``rows`` with the moment of the next row of the same keys (by ``at``, then ``tie``; null after the last).
+
+    Long series are cut into time buckets like entities, so that a hot key is no task's burden.
+    """
+    marked = rows.withColumn("e", F.struct(*keys)).withColumn("t", _micros(F.col(at)))
+    splits = _hot_splits(marked.where("t is not null").select("e", "t"), bucket_rows)
+    marked = _bucket(marked, splits)
+    marked = marked.withColumn(name, F.lead(at).over(Window.partitionBy("e", "b").orderBy("t", tie)))
+    if splits is not None:
+        firsts = marked.groupBy("e", "b").agg(F.min(at).alias("first"))
+        after = F.lead("first").over(Window.partitionBy("e").orderBy("b"))
+        marked = marked.join(firsts.select("e", "b", after.alias("after")), ["e", "b"]).withColumn(name, F.coalesce(name, "after"))
+    return marked.select(*rows.columns, name)
+
+
 def as_of(
     versions_: DataFrame,
     queries: DataFrame,

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import cosine
+
 #: What each tool does to a file (fixed values).
 ACTIONS = {"Read": "read", "Edit": "edit", "MultiEdit": "edit", "NotebookEdit": "edit", "Write": "write", "Grep": "grep", "Glob": "glob"}
 COUNTS = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
@@ -80,30 +82,39 @@ def centroid(vectors: DataFrame, key: str, embedding: str = "embedding") -> Data
 
 
 def salient(turns: DataFrame, budget: int) -> DataFrame:
-    """session_id, uuid, score, kept: the turns worth quoting, packed greedily by score into ``budget`` bytes per session.
+    """session_id, uuid, score, kept: the turns that may be worth quoting, packed greedily by score into ``budget`` bytes per session.
+
+    Turns that cannot be kept, because enough better ones have their size, are left out.
 
     turns: session_id, uuid, line_no, text, embedding, tools. The score is the cosine to the session's
     centroid (0.3 without a vector), plus 0.15 with tool calls and 0.25 for the opening user turn. The pass
     that skips what doesn't fit is sequential, so it runs per session over (uuid, size, score) only.
     """
     middle = centroid(turns.where("embedding is not null"), "session_id").groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("center"))
-    opening = Window.partitionBy("session_id").orderBy("line_no", "uuid")
-    from ..functions.scalars import cosine
-
+    opening = turns.groupBy("session_id").agg(F.min(F.struct("line_no", "uuid"))["uuid"].alias("opening"))
     near = F.when(F.col("embedding").isNull() | F.col("center").isNull(), 0.3).otherwise(cosine(F.col("embedding"), F.col("center")))
-    score = near + F.when(F.col("tools") > 0, 0.15).otherwise(0.0) + F.when((F.row_number().over(opening) == 1) & (F.col("role") == "user"), 0.25).otherwise(0.0)
-    scored = turns.join(middle, "session_id", "left").withColumn("score", score).select("session_id", "uuid", "line_no", F.octet_length("text").alias("size"), "score")
+    score = near + F.when(F.col("tools") > 0, 0.15).otherwise(0.0) + F.when((F.col("uuid") == F.col("opening")) & (F.col("role") == "user"), 0.25).otherwise(0.0)
+    scored = turns.join(middle, "session_id", "left").join(opening, "session_id").select("session_id", "uuid", "line_no", F.octet_length("text").alias("size"), score.alias("score"))
+    # of turns of one size only the first budget / size can fit, so what a session's task gets is bounded whatever the session holds
+    place = F.row_number().over(Window.partitionBy("session_id", "size").orderBy(F.desc("score"), "line_no", "uuid"))
+    ranked = scored.withColumn("place", place).where(F.col("place") <= budget)
+    some = ranked.where(F.col("place") * F.greatest("size", F.lit(1)) <= budget).drop("place")
+    # one turn is kept even where none fits
+    best = scored.groupBy("session_id").agg(F.min(F.struct((-F.col("score")).alias("down"), "line_no", "uuid", "size", "score")).alias("v")).select("session_id", "v.uuid", "v.line_no", "v.size", "v.score")
+    some = some.unionByName(best).distinct()
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.sort_values(["score", "line_no", "uuid"], ascending=[False, True, True])
         left, kept = budget, np.zeros(len(order), dtype=bool)
         for i, size in enumerate(order["size"].to_numpy()):
-            if size <= left or not kept.any() and i == len(order) - 1:
+            if size <= left:
                 kept[i] = True
                 left -= size
+        if not kept.any():
+            kept[0] = True
         return order.assign(kept=kept)[["session_id", "uuid", "score", "kept"]]
 
-    return scored.groupBy("session_id").applyInPandas(pack, "session_id string, uuid string, score double, kept boolean")
+    return some.groupBy("session_id").applyInPandas(pack, "session_id string, uuid string, score double, kept boolean")
 
 
 def transcript_lines(texts: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import scalars, temporal
-from ..operators import audit, graph, writes
+from ..operators import audit, graph, history, writes
 from ..sources import exports
 from ._register import Registry
 
@@ -193,7 +192,10 @@ def age_stale(spark, sf):
     return audit.stale(model.concepts(spark, sf), model.patches(spark, sf), _at(NOW), 200)
 
 
-@q("SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, CASE WHEN round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.7 THEN 'merge' ELSE 'hold' END AS decision FROM vectors a JOIN vectors b ON a.name = b.name AND a.vec_id < b.vec_id")
+_SAME = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+
+
+@q(f"SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, {_SAME} AS similarity, CASE WHEN {_SAME} >= 0.7 THEN 'merge' ELSE 'hold' END AS decision FROM vectors a JOIN vectors b ON a.name = b.name AND a.vec_id < b.vec_id WHERE a.vec_id IN (SELECT min(vec_id) FROM vectors GROUP BY name)")
 def dedupe_merge_hold(spark, sf):
     return audit.same_name_pairs(model.vectors(spark, sf), 0.7)
 
@@ -201,14 +203,13 @@ def dedupe_merge_hold(spark, sf):
 # -- time ---------------------------------------------------------------------------------
 @q("SELECT event_id, user_id, event_type, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS expired_at FROM events", plain=True)
 def tenures(spark, sf):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return model.table(spark, sf, "events").select("event_id", "user_id", "event_type", F.lead("ts").over(w).alias("expired_at"))
+    t = history.successor(model.table(spark, sf, "events"), ["user_id", "event_type"], "ts", "event_id", "expired_at")
+    return t.select("event_id", "user_id", "event_type", "expired_at")
 
 
 @q("SELECT event_id, user_id, event_type, value FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS expired_at FROM events) WHERE ts <= TIMESTAMP '2024-01-15' AND (expired_at IS NULL OR expired_at > TIMESTAMP '2024-01-15')", plain=True)
 def asof_tenures(spark, sf):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    t = model.table(spark, sf, "events").withColumn("expired_at", F.lead("ts").over(w))
+    t = history.successor(model.table(spark, sf, "events"), ["user_id", "event_type"], "ts", "event_id", "expired_at")
     return t.where("ts <= timestamp_ntz'2024-01-15' and (expired_at is null or expired_at > timestamp_ntz'2024-01-15')").select("event_id", "user_id", "event_type", "value")
 
 

@@ -92,14 +92,6 @@ def mentions(spark, sf):
     return model.table(spark, sf, "meetings").select("meeting_id").join(t, "meeting_id", "left").select("meeting_id", zero("topics"), zero("names"))
 
 
-# -- joins on periods --------------------------------------------------------------------
-@q("SELECT q.query_id, count(v.vec_id) AS n FROM temporal_queries q JOIN concept_vectors v ON v.concept_id = q.concept_id AND v.embedded_at <= coalesce(q.as_of, TIMESTAMPTZ '2027-01-01') GROUP BY 1", plain=True)
-def interval_join(spark, sf):
-    v = model.table(spark, sf, "concept_vectors").select("concept_id", "vec_id", "embedded_at")
-    t = model.table(spark, sf, "temporal_queries").withColumn("t", F.coalesce("as_of", F.lit("2027-01-01").cast("timestamp")))
-    return t.join(v, "concept_id").where("embedded_at <= t").groupBy("query_id").agg(F.count("vec_id").alias("n"))
-
-
 # -- writes -----------------------------------------------------------------------------------
 @q(f"SELECT concept_id, coalesce(CASE WHEN namespace <> 'atlas' THEN namespace END, 'global') AS namespace, CAST(epoch(coalesce(CASE WHEN concept_id % 3 <> 0 THEN valid_at END, updated_at)) AS BIGINT) AS valid_at FROM concepts")
 def migrate(spark, sf):

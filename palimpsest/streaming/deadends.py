@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import INBOX
@@ -26,7 +26,9 @@ def by_rule(queries: pd.Series) -> pd.Series:
 
 def first_by_query(rows: DataFrame, *order: str) -> DataFrame:
     """Of rows with the same query the first."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where("rn = 1").drop("rn")
+    rest = [c for c in rows.columns if c not in (*order, "query")]
+    first = rows.groupBy("query").agg(F.min(F.struct(*order, *rest)).alias("v"))
+    return first.select(*[F.col("query") if c == "query" else F.col(f"v.{c}") for c in rows.columns])
 
 
 def decided(rows: DataFrame, classify: Classifier = by_rule) -> DataFrame:
