@@ -52,7 +52,7 @@ _SHORT_PHONE = re.compile(rf"\b(?:call|text|tel|phone|fax|whatsapp|mobile|cell|n
 
 # -- identity numbers ---------------------------------------------------------
 _LABEL = (
-    r"(?:ssn|social security|passport|national id(?:entity)?|identity|identification|id[ -]card|id|tax(?:payer)?|driv(?:er|ing)(?:'s|s)? licen[cs]e|licen[cs]e)"
+    r"(?:ssn|social security|passport|national id(?:entity)?|identity|identification|id[ -]card|id[ -](?:no|number)|tax(?:payer)?|driv(?:er|ing)(?:'s|s)? licen[cs]e|licen[cs]e)"
     r"(?:[ -](?:card|id|identification|number|no|nr|num))*"
 )
 _VALUE = (
