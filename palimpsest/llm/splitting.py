@@ -196,15 +196,19 @@ class _Doc:
         parts = max(1, -(-(total - overlap) // (limit - overlap)))
         even = (total + overlap * (parts - 1)) / parts
         scale = IMBALANCE / limit**2 * 4
-        best, back = self._cheapest(begin, ends, fine, even, limit, scale, min(limit // 2, int(0.75 * even)))
-        if not np.isfinite(best[-1]) or best[-1] >= PENALTY[OTHER]:  # small pieces are better than none, and than a cut within a word
-            best, back = self._cheapest(begin, ends, fine, even, limit, scale, 1)
-        if not np.isfinite(best[-1]):
+        cuts: list[int] = []
+        for least in (min(limit // 2, int(0.75 * even)), 3 * overlap // 2, 1):  # small pieces are better than none, and than a cut within a word
+            best, back = self._cheapest(begin, ends, fine, even, limit, scale, least)
+            if not np.isfinite(best[-1]):
+                continue
+            cuts, j = [], n + 1
+            while j:
+                cuts.append(j)
+                j = int(back[j])
+            if not hard or least <= 3 * overlap // 2 or not any(j <= n and ck[j - 1] == OTHER for j in cuts):
+                break
+        if not cuts:
             return []
-        cuts, j = [], n + 1
-        while j:
-            cuts.append(j)
-            j = int(back[j])
         out, i = [], 0
         for j in reversed(cuts):
             start = 0 if i == 0 else int(np_[i - 1])
