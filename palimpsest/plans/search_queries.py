@@ -106,11 +106,16 @@ _JACCARD = ", types AS (SELECT src, list_distinct(list(rel_type)) AS t FROM edge
 
 @q("SELECT a, b, similarity, round(CASE WHEN len(list_distinct(list_concat(ta, tb))) = 0 THEN 1.0 ELSE CAST(len(list_intersect(ta, tb)) AS DOUBLE) / len(list_distinct(list_concat(ta, tb))) END, 6) AS jaccard FROM pairs WHERE CASE WHEN len(list_distinct(list_concat(ta, tb))) = 0 THEN 1.0 ELSE CAST(len(list_intersect(ta, tb)) AS DOUBLE) / len(list_distinct(list_concat(ta, tb))) END >= 0.3", more=_BLOCK + _JACCARD)
 def similar_pairs_jaccard(spark, sf):
-    v = model.vectors(spark, sf).select("vec_id", "concept_id")
-    near = _near(spark, sf, 8).where("similarity > 0.9")
-    near = near.join(v.select(F.col("vec_id").alias("query_id"), F.col("concept_id").alias("a")), "query_id").join(v.select(F.col("vec_id").alias("other_id"), F.col("concept_id").alias("b")), "other_id")
-    pairs = near.where("a <> b").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    return audit.relation_overlap(model.edges(spark, sf), pairs).where("jaccard >= 0.3").withColumn("jaccard", F.round("jaccard", 6))
+    v = model.vectors(spark, sf)
+    near = search.similar_pairs(v, 0.9)
+    own = search.copies(v).select("rep", "concept_id").where("concept_id is not null").distinct()
+    a, b = own.select(F.col("rep").alias("rep_a"), F.col("concept_id").alias("a")), own.select(F.col("rep").alias("rep_b"), F.col("concept_id").alias("b"))
+    shared = own.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(1.0).alias("similarity"))
+    pairs = near.unionByName(shared).join(a, "rep_a").join(b, "rep_b").where("a <> b")
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
+    pairs = audit.relation_overlap(model.edges(spark, sf), pairs).where("jaccard >= 0.3").withColumn("jaccard", F.round("jaccard", 6))
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(both.alias("p"), "similarity", "jaccard").select("p.a", "p.b", "similarity", "jaccard")
 
 
 @q("SELECT namespace, place, round(avg(v), 6) AS mean FROM (SELECT namespace, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS place FROM vectors) WHERE namespace IS NOT NULL GROUP BY 1, 2", more="")
