@@ -3,8 +3,13 @@
 Passages are windows over stretches of a document that are written in the words of the test items
 alone: wherever a document holds ``min_words`` words of an item in a row, all of them lie in one such
 window.  A distributed randomised SVD of the TF-IDF passages (those of the items among them) gives a
-latent space; passages and item windows of some cosine in it are candidates; for these the longest
-common run of words, and for similar ones the longest common subsequence, decide.
+latent space; passages and item windows of some cosine in it are candidates, for which the longest
+common run of words decides.
+
+Paraphrases are sought in all text: unknown words stay, and passages start every ``STRIDE`` words and are
+so much longer than an item's window that a stretch of 1.25 times its length lies whole within one.  Of
+passages and windows of some latent cosine, those with enough words and neighbours in common (a necessary
+condition) are compared by the longest common subsequence; the item's own last words must follow.
 
 The item set is taken in blocks of bounded size, so that what is sent to the executors and to the
 driver (vocabulary, item windows, a vocabulary-by-rank matrix) never grows with the corpus.
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +31,9 @@ from ..scratch import Scratch, spread
 
 _WORD = re.compile(r"[^\W_]+")
 BLOCK_WORDS = 100_000
+#: Words between the starts of passages for paraphrases; words of an item that are its answer, and of these as many must be there.
+STRIDE = 8
+ANSWER, TOLD = 3, 2
 
 
 def words(text: str | None) -> list[str]:
@@ -51,14 +60,23 @@ def _longest_run(a: list[int], b: list[int]) -> int:
     return best
 
 
-def _common(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+def _masks(window: list[int]) -> dict[int, int]:
+    """The places of each word as bits."""
+    out: dict[int, int] = {}
+    for i, x in enumerate(window):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def _common(a: list[int], masks: dict[int, int], n: int) -> int:
+    """Length of the longest common subsequence of ``a`` and a window of ``n`` words."""
+    full = (1 << n) - 1
+    row = full
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        if m := masks.get(x):
+            u = row & m
+            row = (row + u | row - u) & full
+    return n - row.bit_count()
 
 
 def _weights(flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,27 +114,52 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class _Items:
     """A block of items: vocabulary and windows as word numbers."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], need: int):
+    def __init__(self, items: list[tuple[object, list[str]]], need: int, similar: float):
         self.vocab: dict[str, int] = {}
         self.names = [key for key, _ in items]
         self.words = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for _, ws in items]
-        self.keys, self.windows = [], []
+        self.keys, self.windows, self.rest = [], [], []
         for k, ids in enumerate(self.words):
             for a, b in _windows(len(ids), need):
                 self.keys.append(k)
                 self.windows.append(ids[a:b])
+                self.rest.append(len(ids) - b)
+        # a window's least common words; and of these, how many pairs of neighbours are left where up to 1.25 times its length holds them
+        self.least = [max(need, math.ceil(similar * len(w))) for w in self.windows]
+        self.pairs = [3 * n - 1 - len(w) - math.floor(len(w) / similar) for w, n in zip(self.windows, self.least)]
+        self.width = math.floor(2 * need / similar) + STRIDE
+        self.reach = math.ceil(max(self.rest) / similar) + ANSWER
+        v = len(self.vocab)
+        self.codes = np.unique([x * v + y for w in self.windows for x, y in zip(w, w[1:])])
+
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        """Where passages start that have enough known words and neighbours for some window."""
+        n = len(ids)
+        at = np.arange(0, max(1, n - self.width + STRIDE), STRIDE)
+        end = np.minimum(at + self.width, n)
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        ok = known[end] - known[at] >= min(self.least)
+        at, end = at[ok], end[ok]
+        if not at.size:
+            return at
+        code = ids[:-1].astype(np.int64) * len(self.vocab) + ids[1:]
+        spot = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        met = np.concatenate([[0], np.cumsum((self.codes[spot] == code) & (ids[:-1] >= 0) & (ids[1:] >= 0))])
+        return at[met[end - 1] - met[at] >= max(1, min(self.pairs))]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array([x for w in self.windows for x in w], dtype=np.int64), np.array([len(w) for w in self.windows])
 
 
 def _passages(docs: DataFrame, items: _Items, need: int, id_type: str) -> DataFrame:
-    vocab = docs.sparkSession.sparkContext.broadcast(items.vocab)
+    """doc, passage, loose: windows of stretches in the items' words alone; and regions (loose) that may hold paraphrases, with what follows them."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocab.value.get
+        items = sent.value
+        known = items.vocab.get
         for batch in batches:
-            rows, found = [], []
+            rows, found, loose = [], [], []
             for k, text in enumerate(batch.column(1)):
                 ws = words(text.as_py())
                 if len(ws) < need:
@@ -128,9 +171,17 @@ def _passages(docs: DataFrame, items: _Items, need: int, id_type: str) -> DataFr
                     for x, y in _windows(n, need):
                         rows.append(k)
                         found.append(ids[a + x : a + y])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int64())), pa.array(found, type=pa.list_(pa.int32()))], ["doc", "passage"])
+                        loose.append(False)
+                at = items.starts(ids)
+                far = items.width + items.reach
+                for part in np.split(at, np.nonzero(np.diff(at) > far)[0] + 1):
+                    if part.size:
+                        rows.append(k)
+                        found.append(ids[part[0] : part[-1] + far])
+                        loose.append(True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int64())), pa.array(found, type=pa.list_(pa.int32())), pa.array(loose, type=pa.bool_())], ["doc", "passage", "loose"])
 
-    return spread(docs, "doc", "text").mapInArrow(run, f"doc {id_type}, passage array<int>")
+    return spread(docs, "doc", "text").mapInArrow(run, f"doc {id_type}, passage array<int>, loose boolean")
 
 
 def _multiplied(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -192,10 +243,10 @@ def leaks(
     """``doc_id``, ``item_id``, run_words, shared_words: the documents that hold passages of items.
 
     run_words is the longest run of words of the item in one window of the document (at most 2 *
-    ``min_words``).  A pair is listed if it is at least ``min_words``, or if the longest common
-    subsequence of two windows of a latent cosine of ``similar`` or more is at least ``similar`` of the
-    item's window and holds the window's last words (its answer); shared_words is that length, 0 where
-    it was not needed.  Null, empty and short texts on either side hold nothing; repeated documents
+    ``min_words``).  A pair is listed if it is at least ``min_words``, or if a stretch of the document and a
+    window of the item have a longest common subsequence of at least ``similar`` of the window (and
+    ``min_words``), and ``TOLD`` of the item's ``ANSWER`` last words stand in order in the stretch or as far
+    behind it as the item goes on; shared_words is that length, 0 where it was not needed.  Null, empty and short texts on either side hold nothing; repeated documents
     come out each by its id; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -209,7 +260,7 @@ def leaks(
         part = items.where(F.octet_length(text) >= 2 * min_words - 1).where(F.pmod(F.xxhash64(item_id), F.lit(n_blocks)) == block)
         held = [(r[0], ws) for r in part.select(item_id, text).distinct().toLocalIterator() if len(ws := words(r[1])) >= min_words]
         if held:
-            found = _block(scratch, docs, _Items(held, min_words), kinds, min_words, rank, min_cosine, similar, seed)
+            found = _block(scratch, docs, _Items(held, min_words, similar), kinds, min_words, rank, min_cosine, similar, seed)
             out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], f"doc {kinds[0]}, item {kinds[1]}, run_words int, shared_words int")
@@ -217,53 +268,92 @@ def leaks(
 
 
 def _block(scratch: Scratch, docs: DataFrame, items: _Items, kinds: tuple[str, str], need: int, rank: int, low: float, similar: float, seed: int) -> DataFrame:
-    passages = scratch.save(_passages(docs, items, need, kinds[0]))
+    both = scratch.save(_passages(docs, items, need, kinds[0]))
+    passages = both.where("not loose").select("doc", "passage")
     idf, basis = _latent(passages, items, rank, seed)
     latent = _project(*items.arrays(), idf, basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    sent = docs.sparkSession.sparkContext.broadcast((idf, basis, latent.astype(np.float32), items.keys, items.windows, items.words, items.names))
+    sent = docs.sparkSession.sparkContext.broadcast((idf, basis, latent.astype(np.float32), items))
     item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, latent, keys, windows, whole, names = sent.value
+        idf, basis, latent, items = sent.value
+        whole, keys = items.words, items.keys
         runs: dict[tuple, set[int]] = {}  # runs of ``need`` words and the items that hold them
         for k, ws in enumerate(whole):
             for i in range(len(ws) - need + 1):
                 runs.setdefault(tuple(ws[i : i + need]), set()).add(k)
+        beside: dict[object, dict[int, int]] = {}  # words and neighbours, the windows that hold them and how often
+        for j, w in enumerate(items.windows):
+            for x in [*w, *set(zip(w, w[1:]))]:
+                at = beside.setdefault(x, {})
+                at[j] = at.get(j, 0) + 1
+        held = {x: (np.fromiter(at, np.int64, len(at)), np.fromiter(at.values(), np.int32, len(at))) for x, at in beside.items()}
+        least = np.array(items.least)
+        masks = [_masks(w) for w in items.windows]
+        pairs = np.maximum(1, items.pairs)
         of = np.array(keys)
         span = [np.nonzero(of == k)[0] for k in range(len(whole))]
+
+        def close(part: list[list[int]]) -> np.ndarray:
+            part = [[x for x in p if x >= 0] for p in part]
+            vectors = _project(np.array([x for p in part for x in p], dtype=np.int64), np.array([len(p) for p in part]), idf, basis)
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            return vectors.astype(np.float32) @ latent.T
+
+        def alike(region: list[int]) -> Iterator[tuple[int, int, int]]:
+            """Item, longest run and common words of the paraphrases in a region."""
+            for a in items.starts(np.array(region, dtype=np.int32)).tolist():
+                p = region[a : a + items.width]
+                words_met, pairs_met = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
+                for x, n in Counter(p).items():
+                    if x in held:
+                        js, times = held[x]
+                        words_met[js] += np.minimum(times, n)
+                if not (words_met >= least).any():
+                    continue
+                for x in zip(p, p[1:]):
+                    if x in held:
+                        pairs_met[held[x][0]] += 1
+                may = np.nonzero((words_met >= least) & (pairs_met >= pairs))[0]
+                if may.size:
+                    cosine = close([p])[0]
+                    for j in may[cosine[may] >= low].tolist():
+                        shared = _common(p, masks[j], len(items.windows[j]))
+                        if shared >= items.least[j]:
+                            last = whole[keys[j]][-ANSWER:]
+                            far = region[a : a + items.width + math.ceil(items.rest[j] / similar) + ANSWER]
+                            if any(_common(far[x : x + 2 * ANSWER], _masks(last), len(last)) >= TOLD for x in range(len(far))):
+                                yield keys[j], _longest_run(p, whole[keys[j]]), shared
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(1).to_pylist()
+            lists, loose = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             found: list[tuple[int, int, int, int]] = []
-            for start in range(0, len(lists), 2000):
-                part = lists[start : start + 2000]
-                vectors = _project(np.array([x for p in part for x in p], dtype=np.int64), np.array([len(p) for p in part]), idf, basis)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-                cosine = vectors.astype(np.float32) @ latent.T
-                alike: dict[int, list[int]] = {}
-                for i, j in zip(*map(np.ndarray.tolist, np.nonzero(cosine >= similar))):
-                    alike.setdefault(i, []).append(j)
-                for i, p in enumerate(part):
-                    held = set().union(*(runs.get(tuple(p[x : x + need]), ()) for x in range(len(p) - need + 1)))
-                    for k in held:  # of the candidates, those with a run in common
-                        if (cosine[i, span[k]] >= low).any():
-                            found.append((start + i, k, _longest_run(p, whole[k]), 0))
-                    for j in alike.get(i, ()):
-                        if keys[j] not in held:
-                            shared = _common(p, windows[j])
-                            if shared >= max(need, similar * len(windows[j])) and p[-1] in windows[j][-3:]:
-                                found.append((start + i, keys[j], _longest_run(p, whole[keys[j]]), shared))
+            strict = [i for i, x in enumerate(loose) if not x]
+            for start in range(0, len(strict), 2000):
+                rows = strict[start : start + 2000]
+                cosine = close([lists[i] for i in rows])
+                for c, i in zip(cosine, rows):
+                    p = lists[i]
+                    for k in set().union(*(runs.get(tuple(p[x : x + need]), ()) for x in range(len(p) - need + 1))):  # of the candidates, those with a run in common
+                        if (c[span[k]] >= low).any():
+                            found.append((i, k, _longest_run(p, whole[k]), 0))
+            for i, x in enumerate(loose):
+                if x:
+                    found += [(i, *f) for f in alike(lists[i])]
+            found = [(i, items.names[k], run, shared) for i, k, run, shared in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([x[0] for x in found], type=pa.int64())),
-                    pa.array([names[x[1]] for x in found], type=item_type),
+                    pa.array([x[1] for x in found], type=item_type),
                     pa.array([x[2] for x in found], type=pa.int32()),
                     pa.array([x[3] for x in found], type=pa.int32()),
                 ],
                 ["doc", "item", "run_words", "shared_words"],
             )
 
-    pairs = passages.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}, run_words int, shared_words int")
-    return pairs.groupBy("doc", "item").agg(F.max("run_words").alias("run_words"), F.max("shared_words").alias("shared_words"))
+    pairs = both.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}, run_words int, shared_words int")
+    told = pairs.groupBy("doc", "item").agg(F.max("run_words").alias("run_words"), F.max("shared_words").alias("shared_words"))
+    return told.withColumn("shared_words", F.when(F.col("run_words") < need, F.col("shared_words")).otherwise(0))
