@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
-from .graph import undirected
+from .graph import orphans, undirected
+from .search import copies, similar_pairs
 
 
 def stale(concepts: DataFrame, patches: DataFrame, at: Column, days: int) -> DataFrame:
@@ -67,10 +68,34 @@ def relation_overlap(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.withColumn("jaccard", F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("ta", "tb")) / union)).drop("ta", "tb")
 
 
-def propose_links(orphans: DataFrame, nearest: DataFrame, per_node: int, threshold: float, run: str) -> DataFrame:
-    """Proposed edges (src, rel_type, dst, score, run): of the nearest vectors of orphans, the best ``per_node`` of at least ``threshold`` (index scale)."""
-    ok = nearest.join(orphans.select("query_id"), "query_id", "left_semi").withColumn("score", (1 + F.col("similarity")) / 2)
-    return ok.where((F.col("score") >= threshold) & (F.col("rank") <= per_node)).select(F.col("query_id").alias("src"), F.lit("RELATED_TO").alias("rel_type"), F.col("other_id").alias("dst"), F.round("score", 6).alias("score"), F.lit(run).alias("run"))
+def propose_links(lone: DataFrame, nearest: DataFrame, concepts: DataFrame, per_node: int, threshold: float, run: str) -> DataFrame:
+    """Proposed edges (src, rel_type, dst, score, run) of lone concepts (concept_id): the best ``per_node`` concepts of their own namespace, else the best one of another.
+
+    ``nearest`` (src, dst, similarity) holds pairs of concepts, ``concepts`` the names and namespaces of those that
+    links may lead to.  A concept counts once, none of the lone one's own name is proposed, and scores (index
+    scale) reach ``threshold``; ties go to the smaller id.
+    """
+    c = concepts.select("concept_id", "name", "namespace")
+    best = nearest.where((1 + F.col("similarity")) / 2 >= threshold).groupBy("src", "dst").agg(F.max("similarity").alias("similarity"))
+    best = best.join(lone.select(F.col("concept_id").alias("src")), "src", "left_semi")
+    best = best.join(c.select(F.col("concept_id").alias("src"), F.col("name").alias("own_name"), F.col("namespace").alias("own_ns")), "src").join(c.withColumnRenamed("concept_id", "dst"), "dst")
+    best = best.where("src <> dst and name <> own_name and namespace is not null and own_ns is not null").withColumn("same", F.col("namespace") == F.col("own_ns"))
+    of = Window.partitionBy("src")
+    best = best.withColumn("any_same", F.max("same").over(of)).where(F.col("same") == F.col("any_same"))
+    best = best.withColumn("rank", F.row_number().over(of.orderBy(F.desc("similarity"), "dst"))).where(F.col("rank") <= F.when(F.col("same"), per_node).otherwise(1))
+    return best.select("src", F.lit("RELATED_TO").alias("rel_type"), "dst", F.round((1 + F.col("similarity")) / 2, 6).alias("score"), F.lit(run).alias("run"))
+
+
+def enrich(concepts: DataFrame, edges: DataFrame, vectors: DataFrame, per_node: int, threshold: float, run: str) -> DataFrame:
+    """:func:`propose_links` for all live concepts with a vector and without any edge, out of all vectors of live concepts."""
+    live = concepts.where("invalid_at is null and expired_at is null")
+    v = vectors.select("vec_id", "concept_id", "embedding").join(live.select("concept_id"), "concept_id", "left_semi")
+    lone = orphans(live, edges, "concept_id").select("concept_id")
+    asking = v.join(lone, "concept_id", "left_semi")
+    near = similar_pairs(v, 2 * threshold - 1 - 5e-7, asking=asking)
+    src = asking.select(F.col("vec_id").alias("rep_a"), F.col("concept_id").alias("src"))
+    dst = copies(v).select(F.col("rep").alias("rep_b"), F.col("concept_id").alias("dst")).distinct()
+    return propose_links(lone, near.join(src, "rep_a").join(dst, "rep_b").select("src", "dst", "similarity"), live, per_node, threshold, run)
 
 
 def rollback(edges: DataFrame, run: str | None = None) -> DataFrame:

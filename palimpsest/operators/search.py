@@ -144,17 +144,25 @@ def block_search(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, above: float, id_col: str = "vec_id", embedding: str = "embedding", block_rows: int = 16_384) -> DataFrame:
+def similar_pairs(vectors: DataFrame, above: float, id_col: str = "vec_id", embedding: str = "embedding", block_rows: int = 16_384, asking: DataFrame | None = None) -> DataFrame:
     """rep_a, rep_b, similarity: all pairs of distinct vectors with a cosine (to 6 decimals) above ``above``, each once.
 
     Vectors go by the smallest id of their copies; :func:`copies` tells who these are.  Every pair of
     blocks is one task; the float32 product finds the pairs near the threshold, float64 decides.
+    With ``asking``, further rows like ``vectors``, the pairs are those of each asking row (rep_a, its own
+    id) with each distinct vector (rep_b).
     """
     rows = vectors.groupBy(F.col(embedding).alias("e")).agg(F.min(id_col).alias("id"))
+    alone = asking is None
     n = max(1, math.ceil(vectors.count() / block_rows))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     left = rows.select(F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.lit(n - 1))).alias("y"), F.lit(0).alias("side"), "id", "e")
     right = rows.where("block > 0").select(F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "id", "e")
+    if not alone:
+        m = max(1, math.ceil(asking.count() / block_rows))
+        asked = asking.select(F.col(id_col).alias("id"), F.col(embedding).alias("e"))
+        left = asked.select(F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"), F.lit(0).alias("side"), "id", "e")
+        right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "id", "e")
 
     def multiply(t: pa.Table) -> pa.Table:
         sides = []
@@ -163,7 +171,7 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "vec_id", embe
             ids = part["id"].to_numpy()
             raw = part["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
             sides.append((ids, raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-300)))
-        same = t["x"][0].as_py() == t["y"][0].as_py()
+        same = alone and t["x"][0].as_py() == t["y"][0].as_py()
         (ai, a), (bi, b) = sides[0], sides[0] if same else sides[1]
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if len(ai) and len(bi):
@@ -175,8 +183,8 @@ def similar_pairs(vectors: DataFrame, above: float, id_col: str = "vec_id", embe
                     x, y = x[x < y], y[x < y]
                 s = np.round(np.einsum("ij,ij->i", a[x], b[y]), 6)
                 ok = s > above
-                out[0].append(np.minimum(ai[x], bi[y])[ok])
-                out[1].append(np.maximum(ai[x], bi[y])[ok])
+                out[0].append((np.minimum(ai[x], bi[y]) if alone else ai[x])[ok])
+                out[1].append((np.maximum(ai[x], bi[y]) if alone else bi[y])[ok])
                 out[2].append(s[ok])
         ids_a, ids_b, sims = map(np.concatenate, out)
         return pa.table({"rep_a": pa.array(ids_a, pa.int64()), "rep_b": pa.array(ids_b, pa.int64()), "similarity": pa.array(sims, pa.float64())})

@@ -97,8 +97,7 @@ def knn_search(spark, sf):
 
 @q("SELECT query_id AS src, 'RELATED_TO' AS rel_type, other_id AS dst, round((1 + similarity) / 2, 6) AS score, 'run-1' AS run FROM ranked WHERE rank <= 2 AND (1 + similarity) / 2 >= 0.82 AND query_id % 100 = 0", more=_BLOCK)
 def knn_enrich(spark, sf):
-    lone = model.vectors(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
-    return audit.propose_links(lone, _near(spark, sf, 8), 2, 0.82, "run-1")
+    return audit.enrich(model.concepts(spark, sf), model.edges(spark, sf), model.vectors(spark, sf), 2, 0.82, "run-1")
 
 
 _JACCARD = ", types AS (SELECT src, list_distinct(list(rel_type)) AS t FROM edges GROUP BY 1), pairs AS (SELECT p.*, coalesce(x.t, []) AS ta, coalesce(y.t, []) AS tb FROM (SELECT DISTINCT va.concept_id AS a, vb.concept_id AS b, max(similarity) OVER (PARTITION BY va.concept_id, vb.concept_id) AS similarity FROM ranked r JOIN vectors va ON va.vec_id = r.query_id JOIN vectors vb ON vb.vec_id = r.other_id WHERE rank <= 8 AND similarity > 0.9 AND va.concept_id <> vb.concept_id) p LEFT JOIN types x ON x.src = p.a LEFT JOIN types y ON y.src = p.b)"

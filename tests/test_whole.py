@@ -1,5 +1,10 @@
 """Queries over all rows against DuckDB without any subset of ids."""
 
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
 from palimpsest import model
 from palimpsest.plans import registry
 from test_entry import duck, norm  # noqa: F401
@@ -40,3 +45,27 @@ def test_similar_pairs_in_many_blocks_with_copies(spark):
     got = [(r.rep_a, r.rep_b) for r in search.similar_pairs(v, 0.9, block_rows=16).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {r.vec_id: r.rep for r in search.copies(v).collect()} == dict(enumerate(rep))
+
+
+def test_links_are_proposed_for_orphans_alone(spark):
+    from palimpsest.operators import audit
+
+    none = ("cast(null AS timestamp) AS invalid_at", "cast(null AS timestamp) AS expired_at")
+    names = [(1, "a", "n"), (2, "a", "n"), (3, "b", "n"), (4, "c", "n"), (5, "d", "n"), (6, "e", "m"), (7, "f", "m"), (8, "g", "k"), (9, "h", "n")]
+    c = spark.createDataFrame(names, "concept_id bigint, name string, namespace string").selectExpr("*", *none)
+    c = c.withColumn("invalid_at", F.when(F.col("concept_id") == 9, F.current_timestamp()))
+    e = spark.createDataFrame([(i, "R", j) for i, j in ((2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (9, 2))], "src bigint, rel_type string, dst bigint")
+    # 1: own name, copies and an ended concept are nearer than what is proposed; 8: nothing in its namespace
+    at = [(10, 1, 0), (20, 2, 1), (31, 3, 5), (32, 3, 5), (33, 3, 4), (40, 4, 9), (50, 5, 12), (60, 6, 2), (70, 7, 20), (80, 8, 21), (90, 9, 1)]
+    at = [(v, i, [math.cos(math.radians(d)), math.sin(math.radians(d))]) for v, i, d in at]
+    v = spark.createDataFrame(at, "vec_id bigint, concept_id bigint, embedding array<float>")
+    got = sorted((r.src, r.dst, r.score) for r in audit.enrich(c, e, v, 2, 0.82, "r").collect())
+    score = lambda d: round((1 + round(math.cos(math.radians(d)), 6)) / 2, 6)
+    assert [(a, b) for a, b, _ in got] == [(1, 3), (1, 4), (8, 7)]
+    assert [s for _, _, s in got] == pytest.approx([score(4), score(9), score(1)], abs=2e-6)
+
+
+def test_every_live_orphan_is_asked_for(spark, sf):
+    c, e = model.concepts(spark, sf), model.edges(spark, sf)
+    lone = {r.concept_id for r in c.where("invalid_at is null and expired_at is null").join(e.select(F.explode(F.array("src", "dst")).alias("concept_id")), "concept_id", "left_anti").collect()}
+    assert {r.src for r in registry.QUERIES["knn_enrich"](spark, sf).collect()} <= lone
