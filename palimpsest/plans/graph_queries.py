@@ -80,7 +80,7 @@ def one_hop(spark, sf):
 
 @q("SELECT dst AS concept_id, src AS from_id, rel_type FROM edges WHERE dst % 7 = 0")
 def reverse_hop(spark, sf):
-    return model.edges(spark, sf).where("dst % 7 = 0").select(F.col("dst").alias("concept_id"), F.col("src").alias("from_id"), "rel_type")
+    return model.edges(spark, sf).select(F.col("dst").alias("concept_id"), F.col("src").alias("from_id"), "rel_type")
 
 
 @q("SELECT DISTINCT src AS concept_id, dst AS neighbour FROM (SELECT src, rel_type, dst FROM edges UNION SELECT dst, rel_type, src FROM edges) WHERE rel_type IN ('USES', 'DEPENDS_ON', 'PART_OF')")

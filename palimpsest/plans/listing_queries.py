@@ -51,7 +51,7 @@ def last_lines(spark, sf):
 
 @q("SELECT DISTINCT a.concept_id, b.name AS suggestion FROM concepts a JOIN (SELECT src, dst FROM edges WHERE rel_type IN ('USES', 'PART_OF') UNION SELECT dst, src FROM edges WHERE rel_type IN ('USES', 'PART_OF')) e ON e.src = a.concept_id JOIN concepts b ON b.concept_id = e.dst WHERE a.concept_id % 25 = 0")
 def neighbour_suggestions(spark, sf):
-    e = graph.undirected(graph.one_hop(model.edges(spark, sf), ["USES", "PART_OF"])).where("src % 25 = 0")
+    e = graph.undirected(graph.one_hop(model.edges(spark, sf), ["USES", "PART_OF"]))
     c = model.concepts(spark, sf).select(F.col("concept_id").alias("dst"), F.col("name").alias("suggestion"))
     return e.join(c, "dst").select(F.col("src").alias("concept_id"), "suggestion").distinct()
 

@@ -69,3 +69,11 @@ def test_every_live_orphan_is_asked_for(spark, sf):
     c, e = model.concepts(spark, sf), model.edges(spark, sf)
     lone = {r.concept_id for r in c.where("invalid_at is null and expired_at is null").join(e.select(F.explode(F.array("src", "dst")).alias("concept_id")), "concept_id", "left_anti").collect()}
     assert {r.src for r in registry.QUERIES["knn_enrich"](spark, sf).collect()} <= lone
+
+
+def test_links_of_all_concepts(spark, duck, sf):  # noqa: F811
+    got = rows(registry.QUERIES["reverse_hop"](spark, sf).select("concept_id", "from_id", "rel_type"))
+    assert got == told(duck, "", "SELECT dst, src, rel_type FROM edges")
+    got = rows(registry.QUERIES["neighbour_suggestions"](spark, sf).select("concept_id", "suggestion"))
+    linked = "SELECT src, dst FROM edges WHERE rel_type IN ('USES', 'PART_OF') UNION SELECT dst, src FROM edges WHERE rel_type IN ('USES', 'PART_OF')"
+    assert got == told(duck, "", f"SELECT DISTINCT e.src, b.name FROM ({linked}) e JOIN concepts b ON b.concept_id = e.dst")
