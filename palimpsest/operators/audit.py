@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from ..scratch import Scratch
 from .graph import orphans, undirected
 from .search import copies, similar_pairs
 
@@ -45,17 +46,42 @@ def foreign_majority(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return c.groupBy("concept_id", "name").agg(same, other, spaces).where("other > same and other > 2")
 
 
-def same_name_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """vec_a, vec_b, similarity, decision: each further vector of a name against the name's first one (by id).
+def same_name_pairs(vectors: DataFrame, threshold: float, preferred: DataFrame | None = None, salts: int = 16) -> DataFrame:
+    """vec_a, vec_b, similarity, decision, links: each further vector of a name (vec_b) with the one that stands for its class (vec_a).
 
-    From ``threshold`` (raw cosine) on the two are merged, else held.  One row per duplicate: no pairs
-    within a name, however many vectors it has.
+    All vectors of a name are compared; those linked by a raw cosine of ``threshold`` or more, also by way
+    of others, are one class and are merged into the one that stands for it: one of a concept in
+    ``preferred`` (concept_id) if there is one, then the smallest id.  What stands for its own class is held
+    against what stands for the name.  links counts the vectors of the name that reach the threshold.
     """
-    first = vectors.where("name is not null").groupBy("name").agg(F.min(F.struct("vec_id", "embedding")).alias("first"))
-    a = first.select("name", F.col("first.vec_id").alias("vec_a"), F.col("first.embedding").alias("ea"))
-    b = vectors.select(F.col("vec_id").alias("vec_b"), "name", F.col("embedding").alias("eb"))
-    pairs = b.join(a, "name").where("vec_a < vec_b").withColumn("similarity", F.round(cosine(F.col("ea"), F.col("eb")), 6))
-    return pairs.select("vec_a", "vec_b", "similarity", F.when(F.col("similarity") >= threshold, "merge").otherwise("hold").alias("decision"))
+    scratch = Scratch(vectors.sparkSession, "names")
+    v = vectors.where("name is not null").select("vec_id", "concept_id", "name", F.col("embedding").alias("e")).withColumn("late", F.lit(True))
+    if preferred is not None:
+        chosen = preferred.select("concept_id", F.lit(False).alias("early")).distinct()
+        v = v.join(chosen, "concept_id", "left").withColumn("late", F.coalesce("early", F.lit(True)))
+    v = scratch.save(v.withColumn("key", F.struct("late", "vec_id")).select("key", "vec_id", "name", "e"))
+    # each vector meets those of every salt, so that the pairs of one name are spread over many tasks
+    a = v.select("name", "vec_id", F.col("e").alias("ea"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    b = v.select("name", F.col("vec_id").alias("other"), F.col("e").alias("eb"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"))
+    near = a.join(b.hint("shuffle_hash"), ["name", "salt"]).where((F.col("vec_id") < F.col("other")) & (F.round(cosine(F.col("ea"), F.col("eb")), 6) >= threshold)).select("vec_id", "other")
+    near = scratch.save(near)
+    near = near.unionByName(near.select(F.col("other").alias("vec_id"), F.col("vec_id").alias("other")))
+    links = near.groupBy("vec_id").agg(F.count("*").alias("links"))
+    label = scratch.save(v.select("vec_id", "key").join(links, "vec_id", "left_semi"))
+    while True:  # labels go along links and then along labels until none changes
+        heard = near.join(label.select(F.col("vec_id").alias("other"), "key"), "other").groupBy("vec_id").agg(F.min("key").alias("k"))
+        step = label.join(heard, "vec_id").select("vec_id", F.col("key").alias("was"), F.least("key", "k").alias("key"))
+        step = step.join(label.select(F.col("vec_id").alias("at"), F.col("key").alias("far")), F.col("key.vec_id") == F.col("at"), "left")
+        step = scratch.save(step.select("vec_id", "was", F.least("key", "far").alias("key")))
+        label = step.select("vec_id", "key")
+        if step.where("was <> key").isEmpty():
+            break
+    first = v.groupBy("name").agg(F.min("key").alias("first"))
+    told = v.join(label.withColumnRenamed("key", "class"), "vec_id", "left").join(links, "vec_id", "left").join(first, "name")
+    merged = F.col("class.vec_id") != F.col("vec_id")
+    told = told.select(F.col("vec_id").alias("vec_b"), F.col("e").alias("eb"), F.coalesce("links", F.lit(0)).alias("links"), F.when(merged, "merge").otherwise("hold").alias("decision"), F.when(merged, F.col("class.vec_id")).otherwise(F.col("first.vec_id")).alias("vec_a"))
+    told = told.where("vec_a <> vec_b").join(v.select(F.col("vec_id").alias("vec_a"), F.col("e").alias("ea")), "vec_a")
+    return told.select("vec_a", "vec_b", F.round(cosine(F.col("ea"), F.col("eb")), 6).alias("similarity"), "decision", "links")
 
 
 def relation_overlap(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -197,7 +197,8 @@ _SAME = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE
 
 @q(f"SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, {_SAME} AS similarity, CASE WHEN {_SAME} >= 0.7 THEN 'merge' ELSE 'hold' END AS decision FROM vectors a JOIN vectors b ON a.name = b.name AND a.vec_id < b.vec_id WHERE a.vec_id IN (SELECT min(vec_id) FROM vectors GROUP BY name)")
 def dedupe_merge_hold(spark, sf):
-    return audit.same_name_pairs(model.vectors(spark, sf), 0.7)
+    preferred = model.concepts(spark, sf).where("namespace = 'global' and expired_at is null")
+    return audit.same_name_pairs(model.vectors(spark, sf), 0.7, preferred)
 
 
 # -- time ---------------------------------------------------------------------------------

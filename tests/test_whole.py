@@ -77,3 +77,13 @@ def test_links_of_all_concepts(spark, duck, sf):  # noqa: F811
     got = rows(registry.QUERIES["neighbour_suggestions"](spark, sf).select("concept_id", "suggestion"))
     linked = "SELECT src, dst FROM edges WHERE rel_type IN ('USES', 'PART_OF') UNION SELECT dst, src FROM edges WHERE rel_type IN ('USES', 'PART_OF')"
     assert got == told(duck, "", f"SELECT DISTINCT e.src, b.name FROM ({linked}) e JOIN concepts b ON b.concept_id = e.dst")
+
+
+def test_duplicates_are_compared_with_all_of_their_name(spark):
+    from palimpsest.operators import audit
+
+    at = [(1, 1, "x", 0), (2, 1, "x", 90), (3, 2, "x", 120), (4, 1, "x", 150), (5, 3, "x", 250), (6, 1, "y", 90), (7, 1, None, 0), (8, 4, "z", 0), (9, 5, "z", 10)]
+    v = spark.createDataFrame([(i, c, n, [math.cos(math.radians(d)), math.sin(math.radians(d))]) for i, c, n, d in at], "vec_id bigint, concept_id bigint, name string, embedding array<float>")
+    tell = lambda *chosen: sorted((r.vec_a, r.vec_b, r.decision, r.links) for r in audit.same_name_pairs(v, 0.7, spark.createDataFrame([(c,) for c in chosen], "concept_id bigint"), 3).collect())
+    assert tell() == [(1, 2, "hold", 1), (1, 5, "hold", 0), (2, 3, "merge", 2), (2, 4, "merge", 1), (8, 9, "merge", 1)]
+    assert tell(2, 5) == [(3, 1, "hold", 0), (3, 2, "merge", 1), (3, 4, "merge", 1), (3, 5, "hold", 0), (9, 8, "merge", 1)]
