@@ -1,8 +1,8 @@
 """Most similar vectors for every vector, as a block matrix join.
 
 Unit vectors are quantised to int8 codes with a scale and the exact norm of what the codes miss.
-The vectors are cut into blocks; every pair of blocks is one tile, whose products of codes bound
-each cosine from above and below.  Pairs that can still be among a vector's k best (and reach the
+The vectors are cut into blocks; every pair of blocks is one tile, whose float32 products of the
+vectors restored from their codes bound each cosine from above and below.  Pairs that can still be among a vector's k best (and reach the
 wanted cosine) are recomputed in float and kept in a heap of k entries per vector, whose worst
 entry raises the bar for what follows in the tile.  The heaps of all tiles are merged by Spark.
 
