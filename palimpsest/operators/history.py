@@ -16,7 +16,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 BITS = 32
+#: States are told apart by their JSON, with every digit of a moment.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _micros(c: Column) -> Column:
@@ -32,7 +36,7 @@ def _hot_splits(moments: DataFrame, bucket_rows: int) -> DataFrame | None:
     most = counts.agg(F.max("count")).first()[0]
     if most is None:
         return None
-    n = min(10_000, math.ceil(most / bucket_rows))
+    n = math.ceil(most / bucket_rows)
     points = [i / n for i in range(1, n)] or [0.5]
     hot = moments.join(counts.select("e"), "e", "left_semi")
     return hot.groupBy("e").agg(F.percentile_approx("t", points, 20 * n).alias("splits"))
@@ -92,7 +96,7 @@ def versions(
     splits = _hot_splits(rows.select("e", "t"), bucket_rows)
     moments = rows.groupBy("e", "t").agg(F.max("row").alias("row"))
     moments = _bucket(moments, splits).select("e", "b", "t", F.col("row.s").alias("s"), F.col("row.there").alias("there"))
-    moments = moments.withColumn("h", F.when(F.col("there"), F.unhex(F.md5(F.to_json("s")))))
+    moments = moments.withColumn("h", F.when(F.col("there"), F.unhex(F.md5(F.to_json("s", EXACT)))))
     order = Window.partitionBy("e", "b").orderBy("t")
     moments = moments.withColumn("o", F.row_number().over(order) - 1)
     words = moments.groupBy("e", "b", "h", F.floor(F.col("o") / BITS).cast("int").alias("word")).agg(
@@ -171,7 +175,7 @@ def as_of(
     q = F.struct(*queries.columns)
     left = versions_.select(F.col(entity).alias("e"), F.col("valid_from").alias("t"), F.lit(0).alias("side"), F.struct(*fields).alias("v"), F.lit(None).cast(queries.select(q).schema[0].dataType).alias("q"))
     right = queries.select(F.col(entity).alias("e"), _micros(moment).alias("t"), F.lit(1).alias("side"), no.alias("v"), q.alias("q"))
-    both = left.unionByName(right)
+    both = Scratch(queries.sparkSession, "as_of").save(left.unionByName(right))  # the versions are worked out once
     splits = _hot_splits(both.where("e is not null").select("e", "t"), bucket_rows)
     both = _bucket(both, splits)
     order = Window.partitionBy("e", "b").orderBy("t", "side")

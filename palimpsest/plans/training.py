@@ -27,7 +27,7 @@ def p1_found(spark, sf):
 
 def p1_versions(spark, sf):
     h = history(_table(spark, sf, "concept_updates"))
-    return h.select("concept_id", _seconds("valid_from").alias("valid_from"), _seconds("valid_to").alias("valid_to"), "description", "source", "url", F.coalesce(F.unix_seconds("invalid_at"), F.lit(0)).alias("invalid_at_s"), "invalidated_by")
+    return h.select("concept_id", _seconds("valid_from").alias("valid_from"), _seconds("valid_to").alias("valid_to"), "description", "source", "url", F.coalesce(F.unix_micros("invalid_at"), F.lit(0)).alias("invalid_at_us"), "invalidated_by", F.col("valid_from").alias("from_us"), F.coalesce(F.col("valid_to"), F.lit(0)).alias("to_us"))
 
 
 def p1_asof(spark, sf):
@@ -86,7 +86,7 @@ FROM versions WHERE ended IS NULL OR ended > updated_at""",
     "p1_versions": _VERSIONS + """
 SELECT concept_id, CAST(floor(epoch_us(updated_at) / 1000000) AS BIGINT) AS valid_from,
        CAST(coalesce(floor(epoch_us(ended) / 1000000), 0) AS BIGINT) AS valid_to, description, source, url,
-       CAST(coalesce(floor(epoch_us(invalid_at) / 1000000), 0) AS BIGINT) AS invalid_at_s, invalidated_by
+       coalesce(epoch_us(invalid_at), 0) AS invalid_at_us, invalidated_by, epoch_us(updated_at) AS from_us, coalesce(epoch_us(ended), 0) AS to_us
 FROM versions WHERE ended IS NULL OR ended > updated_at""",
     "p1_asof": _VERSIONS + f""",
 q AS (SELECT *, coalesce(as_of, TIMESTAMPTZ '{NOW}') AS t FROM temporal_queries),

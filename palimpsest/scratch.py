@@ -18,13 +18,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's checkpoint directory, or one of our own where none is set."""
+    """The shared folder: the session's checkpoint directory, or, in local mode only, one of our own where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         running = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = running.get() if running.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="palimpsest-")
@@ -48,16 +50,17 @@ def clean_up() -> None:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` in enough partitions for all cores, where a table comes in few files that can't be split.
+    """``df`` in enough partitions for all cores, where a table comes in fewer parts than there are cores.
 
-    Tables that already come in twice as many partitions as there are cores are left as they are.
+    That happens to tables of few files only (parts of ``spark.sql.files.maxPartitionBytes`` at most), so
+    what is shuffled is bounded by that size times the cores; larger tables are left as they are.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     run = df._jdf.queryExecution()
     if df.isStreaming or "Exchange" in run.executedPlan().toString():
         return df
-    if run.toRdd().getNumPartitions() >= 2 * cores:
+    if run.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(3 * cores, F.xxhash64(*by))
 

@@ -78,3 +78,10 @@ def test_as_of_takes_the_version_in_force(spark, bucket_rows):
     q = spark.createDataFrame(asked, "query_id int, concept_id bigint, as_of timestamp, include_expired boolean")
     got = {r.query_id: r.description for r in as_of(v, q, now="2024-06-01", bucket_rows=bucket_rows).collect()}
     assert got == {1: None, 2: "a", 3: None, 4: "b", 5: "c", 6: None, 7: None, 8: "a"}
+
+
+def test_states_that_differ_by_microseconds_are_two_versions(spark):
+    end = datetime(2024, 5, 1, 0, 0, 0, 123_456)
+    rows = [row(1, "a", 1)[:4] + (end,) + row(1, "a", 1)[5:], row(1, "a", 2)[:4] + (end + timedelta(microseconds=543),) + row(1, "a", 2)[5:]]
+    got = hours(history(spark.createDataFrame(rows, SCHEMA)))
+    assert got == [(1, at(1), at(2)), (1, at(2), end + timedelta(microseconds=543))]
