@@ -36,7 +36,7 @@ ANSWER, TOLD = 3, 2
 #: Passages are bit sets of one machine word.
 WIDEST = 64
 #: Passages that are compared at once, and cells of their word tables.
-TOGETHER, CELLS, PAIRS = 1_024, 8_000_000, 1 << 17
+TOGETHER, CELLS, PAIRS = 1_024, 8_000_000, 1 << 14
 
 
 def words(text: str | None) -> list[str]:
@@ -73,14 +73,18 @@ def _in_order(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def _subsequences(masks: np.ndarray, width: int) -> np.ndarray:
-    """Longest common subsequences: ``masks`` has a row per pair with the places in the passage of each word of the window."""
-    full = np.uint64((1 << width) - 1) if width < 64 else np.uint64(2**64 - 1)
-    row = np.full(len(masks), full)
-    for t in range(masks.shape[1]):
-        u = row & masks[:, t]
-        row = ((row + u) | (row - u)) & full
-    return width - np.bitwise_count(row).astype(np.int64)
+def _subsequences(masks: list[np.ndarray], width: int) -> np.ndarray:
+    """Longest common subsequences of pairs: for each word of the windows, its places in the passages as bits (of each pair)."""
+    row = np.full(len(masks[0]), np.uint64(2**64 - 1))
+    u = np.empty_like(row)
+    for m in masks:
+        np.bitwise_and(row, m, out=u)
+        row ^= u  # without the places that are met
+        np.add(u, u, out=m)
+        m += row
+        np.bitwise_or(row, m, out=row)
+    full = np.uint64((1 << width) - 1 if width < 64 else 2**64 - 1)
+    return width - np.bitwise_count(row & full).astype(np.int64)
 
 
 def _has_run(masks: np.ndarray, n: int) -> np.ndarray:
@@ -370,7 +374,7 @@ def _block(regions: DataFrame, items: _Items, shape: _Shape, kinds: tuple[str, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, basis, latent = sent.value
-        padded, bars, v = items.padded(), (low * items.share).astype(np.float32), items.n_terms
+        padded, need, bars, v = np.ascontiguousarray(items.padded().T.astype(np.int64)), items.run, (low * items.share).astype(np.float32), items.n_terms
         runs = np.unique(items.run).tolist()
         step = max(16, min(TOGETHER, CELLS // (v + 1)))
 
@@ -389,12 +393,13 @@ def _block(regions: DataFrame, items: _Items, shape: _Shape, kinds: tuple[str, s
             for t in range(shape.width):
                 places[every, known[:, t]] |= np.uint64(1 << t)
             places[:, v] = 0
+            flat = places.ravel()
             for a in range(0, len(of), PAIRS):
                 p, j = of[a : a + PAIRS], js[a : a + PAIRS]
-                masks = places[p[:, None], padded[j]]
-                shared = _subsequences(masks, shape.width)
-                ok = shared >= items.run[j]
-                p, j, masks, shared = p[ok], j[ok], masks[ok], shared[ok]
+                shared = _subsequences([flat.take(p * (v + 1) + word.take(j)) for word in padded], shape.width)
+                ok = shared >= need.take(j)
+                p, j, shared = p[ok], j[ok], shared[ok]
+                masks = places[p[:, None], padded[:, j].T]
                 verbatim = np.zeros(len(p), dtype=bool)
                 for n in runs:
                     mine = items.run[j] == n
