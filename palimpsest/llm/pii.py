@@ -4,25 +4,20 @@ Finding reads whole texts with patterns for email addresses, phone numbers, iden
 street addresses, and with known name parts and the words around them for personal names.  A piece
 that lies within an earlier kind of piece is no case of its own.
 
-Replacing writes either typed placeholders or surrogates: keyed replacements of the same type and
-format (digits for digits, letters for letters of the same script and case, given names for given
-names), the same for every mention of an entity, and checked over the whole corpus so that
-different entities never share one.
+Replacing writes typed placeholders; keyed surrogates are in :mod:`surrogates`.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch, spread
+from ..scratch import spread
 
 EMAIL, PHONE, ID, ADDRESS, NAME = KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 
@@ -46,6 +41,7 @@ _PHONE = re.compile(
     rf"|[2-9]\d{{2}}({_GAP})\d{{3}}\1\d{{4}}"
     rf"|0\d{{2,4}}{_GAP}\d{{3,4}}{_GAP}?\d{{3,4}}"
     rf"|[2-9]\d{{2}}[2-9]\d{{6}}"
+    rf"|1[3-9]\d({_GAP})\d{{4}}\2\d{{4}}"  # mobile numbers of eleven digits
     rf")(?![\w-]|[.,:/]\d)"
 )
 _SHORT_PHONE = re.compile(rf"\b(?:call|text|tel|phone|fax|whatsapp|mobile|cell|number is|desk under)\b\W{{0,3}}(?:me at |us at )?([\d(][\d ()\-.]{{5,}}\d)(?![\w-]|[.,:/]\d)", re.I)
@@ -124,6 +120,13 @@ _WEAK = frozenset(("i am", "per", "ask", "from", "this is", "owner", "contact:",
 _AFTER = re.compile(r"[ ]?(?:,[ ]who\b|,[ ]two years|:[ ]do not|owns\b|signed it\b|about the\b|first\b|\(see\b|,[ ]see below|,[ ]thanks|on the fix|today\b|wrote\b|said\b|reported\b|joined\b|left the\b)|[ ]?[!.]?(?:$|\n)|\.[ ]", re.I)
 _OWNS = re.compile(rf"(?<![\w@.-])({_FULL})[ ](?:owns this|signed it off)\b")
 _THANKS = re.compile(rf"(?:--|—|–)[ ]?({_PART}(?:[ ]{_PART})?)(?![\w@])")
+#: Common given names by gender (fixed values): known parts besides those of the table, none of them an English word.
+FEMALE = frozenset("anna anne maria mary elena laura sofia sophia julia emma emily olivia sarah sara hannah lisa linda barbara susan jennifer jessica nancy karen helen sandra claudia monika ursula ingrid chiara giulia francesca carmen lucia isabel camille chloe amelie ines fatima aisha leila priya ananya lakshmi mei yuki sakura keisha amina ngozi olga natasha tatiana svetlana irina katarzyna agnieszka zofia".split())
+MALE = frozenset("john james robert michael david william richard thomas joseph charles christopher daniel matthew anthony paul steven andrew kenneth george kevin brian edward ronald timothy jason jeffrey peter hans klaus stefan wolfgang dieter marco luca giovanni alessandro carlos jorge miguel jose pedro pierre jacques francois ahmed mohammed omar ali hassan raj arjun rahul vikram hiroshi kenji takashi kwame chidi ivan dmitri sergei vladimir piotr tomasz krzysztof".split())
+#: Family names in Han script (fixed values), and what follows a name there.
+_HAN_FAMILY = "田中|鈴木|佐藤|高橋|伊藤|渡辺|山本|中村|小林|加藤|吉田|山田|佐々木|山口|松本|井上|木村|清水|[王李张張刘劉陈陳杨楊赵趙黄黃周吴吳徐孙孫胡朱高林何郭马馬罗羅梁宋郑鄭谢謝韩韓唐冯馮于董萧蕭程曹袁邓鄧许許傅沈曾彭吕呂苏蘇卢盧蒋蔣蔡贾賈丁魏薛叶葉阎余潘杜戴夏钟鐘汪任姜范方石姚谭譚廖邹鄒熊金陆陸郝孔白崔康毛邱秦江史顾顧侯邵孟龙龍万段雷钱錢汤湯尹黎常武乔喬贺賀赖賴龚龔]"
+_HAN_NAME = re.compile(rf"(?:{_HAN_FAMILY})[\u4e00-\u9fff々]{{0,3}}?(?=さん|様|氏|先生|女士|小姐|老师|君)|(?<![\u3040-\u30ff\u4e00-\u9fff々])(?:{_HAN_FAMILY})[\u4e00-\u9fff]{{1,2}}(?![\u3040-\u30ff\u4e00-\u9fff々])")
+_HAN = re.compile("[\u4e00-\u9fff]")
 _STOP = frozenset(
     "the a an i it we you he she they this that these those my our your his her their what why how when where who which there here no not yes ok let lets can could would should did do done does is are was were "
     "and or but if then so because for from to in on at by of with per ask talk dear hi hello hey thanks thank kind best regards cheers owner author contact cc re fwd dr mr mrs ms prof sir row form fax tel call text "
@@ -135,7 +138,7 @@ class Finder:
     """Finds the pieces of one text; ``names`` are known parts of names, kind by lower-case word."""
 
     def __init__(self, names: dict[str, str]):
-        self.names = {w.lower(): k for w, k in names.items() if w}
+        self.names = dict.fromkeys(FEMALE | MALE, "given") | {w.lower(): k for w, k in names.items() if w}
         self.sure = frozenset(w for w in self.names if w not in COMMON)
 
     def known(self, part: str, sure: bool = True) -> bool:
@@ -196,6 +199,9 @@ class Finder:
             words = m[1].split(" ")
             if words[0].lower().strip(".") not in _STOP:
                 take(m.start(1), self._end(m, words), NAME)
+        if _HAN.search(text):
+            for m in _HAN_NAME.finditer(text):
+                take(*m.span(), NAME)
         for m in _RUN.finditer(text):
             for a, b in self._known_runs(m):
                 take(a, b, NAME)
@@ -354,157 +360,3 @@ def replace(text: str | None, spans: Iterable[tuple[int, int, str]]) -> str | No
         out += [text[last:a], new]
         last = b
     return text if not out else "".join(out) + text[last:]
-
-
-# -- surrogates -------------------------------------------------------------------------
-
-_SPELT = re.compile(r"[ ]?\((?:at|dot)\)[ ]?|[ ]?\[(?:at|dot)\][ ]?|[ ](?:at|dot)[ ]", re.I)
-_KEPT = re.compile(rf"(?:{_TYPE}|{_UNIT}|[nsew]|via|viale|piazza|corso|calle|avenida|plaza|rue|de|la|del|della|des|du|da)$", re.I)
-_ENDING = re.compile(r"(strasse|straße|str|weg|gasse|platz|allee|ufer|damm|ring|straat|laan|gatan|vej|veien)$", re.I)
-
-
-def entity(kind: str, found: str) -> str:
-    """What a mention refers to, however it is written."""
-    if kind == EMAIL:
-        return _SPELT.sub(lambda m: "@" if "at" in m[0].lower() else ".", found).lower()
-    if kind == PHONE:
-        return re.sub(r"\D", "", found)
-    if kind == ID:
-        return re.sub(r"[^0-9a-z]", "", found.lower())
-    if kind == NAME and ", " in found:
-        last, first = found.split(", ", 1)
-        found = f"{first} {last}"
-    return _plain(" ".join(found.lower().split()))
-
-
-class _Stream:
-    """Keyed numbers for one entity and attempt."""
-
-    def __init__(self, key: bytes, *of: object):
-        self.key, self.of, self.n, self.left = key, "\x1f".join(map(str, of)).encode(), 0, b""
-
-    def below(self, n: int) -> int:
-        if len(self.left) < 4:
-            self.left += hmac.new(self.key, self.of + self.n.to_bytes(4, "big"), hashlib.sha256).digest()
-            self.n += 1
-        x, self.left = self.left[:4], self.left[4:]
-        return int.from_bytes(x, "big") % n
-
-
-def _letters(word: str, s: _Stream) -> str:
-    """Another word of the same length, script and case: vowels for vowels, consonants for consonants, digits for digits."""
-    out = []
-    for c in word:
-        low = c.lower()
-        if c.isdigit() and c.isascii():
-            new = str(s.below(10))
-        elif low in "aeiou":
-            new = "aeiou"[s.below(5)]
-        elif "a" <= low <= "z":
-            new = "bcdfghjklmnprstvwz"[s.below(18)]
-        elif c.isalpha():
-            base = ord(c) & ~0x0F
-            near = [chr(x) for x in range(base, base + 16) if chr(x).isalpha() and chr(x).isupper() == c.isupper()]
-            new = near[s.below(len(near))] if near else c
-        else:
-            new = c
-        out.append(new.upper() if c.isupper() else new)
-    return "".join(out)
-
-
-def surrogate(kind: str, of: str, attempt: int, key: bytes, parts: dict[str, list[str]]) -> str:
-    """A replacement for an entity, in the canonical form of :func:`entity`."""
-    s = _Stream(key, kind, of, attempt)
-    if kind == EMAIL:
-        head, _, last = of.rpartition(".")
-        return f"{_letters(head, s)}.{last}"
-    if kind == PHONE:
-        keep = 1 if len(of) == 11 and of[0] == "1" else 3 if of.startswith("00") else 0
-        return of[:keep] + _letters(of[keep:], s)
-    if kind == ID:
-        return _letters(of, s)
-    if kind == ADDRESS:
-        return " ".join(w if _KEPT.match(w.strip(".,")) else (lambda m: _letters(w[: m.start()], s) + w[m.start() :] if m and m.start() else _letters(w, s))(_ENDING.search(w)) for w in of.split(" "))
-    words = of.split(" ")
-    out = []
-    for i, w in enumerate(words):
-        new = []
-        for p in w.split("-"):
-            pool = parts["given" if i == 0 and len(words) > 1 or parts["kind"].get(p) == "given" else "family"]
-            if len(p.strip(".")) < 2 or not pool or attempt > 1 or not p.isascii():
-                new.append(_letters(p, s))
-            else:
-                new.append(pool[s.below(len(pool))])
-        out.append("-".join(new))
-    return " ".join(out)
-
-
-def render(kind: str, found: str, new: str) -> str:
-    """A surrogate in the format of a mention: its separators, order and case."""
-    if kind == NAME:
-        words = new.split(" ")
-        if ", " in found:
-            n = len(found.split(", ", 1)[1].split(" "))
-            text = f"{' '.join(words[n:])}, {' '.join(words[:n])}"
-        else:
-            text = new
-        return text.upper() if found.isupper() else text if found.islower() else re.sub(r"(?:^|(?<=[ -]))[^\W\d_]", lambda m: m[0].upper(), text)
-    if kind == EMAIL:
-        marks = [m[0] for m in _SPELT.finditer(found)]
-        if marks:
-            spelt = {("at" in m.lower()): m for m in marks}
-            new = "".join(spelt.get(c == "@", c) if c in "@." else c for c in new)
-        return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new)) if len(found) == len(new) else new
-    if kind == ADDRESS:
-        return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new)) if len(found) == len(new) else new
-    fill = iter(new)
-    return "".join((lambda n: n.upper() if c.isupper() else n)(next(fill, c)) if c.isalnum() and c.isascii() else c for c in found)
-
-
-def surrogates(found: DataFrame, names: DataFrame | None, key: str, rounds: int = 12) -> DataFrame:
-    """kind, entity, surrogate: one replacement for each entity of ``found`` (kind, entity), all of them distinct.
-
-    A replacement that two entities would share, or that is itself an entity of the texts, goes to the
-    smallest entity or to none; the others try the next keyed one.
-    """
-    spark = found.sparkSession
-    scratch = Scratch(spark, "surrogates")
-    kinds = name_parts(names)
-    pools = {k: sorted({w.lower() for w, x in kinds.items() if x == k}) for k in ("given", "family")} | {"kind": {w.lower(): k for w, k in kinds.items()}}
-    sent = spark.sparkContext.broadcast((key.encode(), pools))
-    entities = scratch.save(found.select("kind", "entity").distinct())
-
-    def tried(df: DataFrame, attempt: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            secret, parts = sent.value
-            for b in batches:
-                new = [surrogate(k, e, attempt, secret, parts) for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], ["kind", "entity", "surrogate"])
-
-        return df.mapInArrow(run, "kind string, entity string, surrogate string")
-
-    done, left = None, entities
-    for attempt in range(rounds):
-        made = scratch.save(tried(left, attempt))
-        first = Window.partitionBy("kind", "surrogate").orderBy("entity")
-        free = made.join(entities.withColumnRenamed("entity", "surrogate"), ["kind", "surrogate"], "left_anti")
-        if done is not None:
-            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        free = scratch.save(free.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at").select("kind", "entity", "surrogate"))
-        done = free if done is None else scratch.save(done.unionByName(free))
-        left = scratch.save(left.join(free, ["kind", "entity"], "left_anti"))
-        if left.isEmpty():
-            return done
-    rest = left.withColumn("surrogate", F.concat(F.lit("entity-"), F.md5(F.concat_ws("|", F.lit(key), "kind", "entity"))))
-    return done.unionByName(rest)
-
-
-def with_surrogates(texts: DataFrame, names: DataFrame | None, key: str) -> DataFrame:
-    """src, rec_id, block_no, text: each piece replaced by its entity's surrogate in the mention's own format."""
-    scratch = Scratch(texts.sparkSession, "pseudonyms")
-    entity_of = F.udf(entity, "string")
-    spans = scratch.save(find_pii(texts, names).withColumn("entity", entity_of("kind", "found")))
-    mapped = spans.join(surrogates(spans, names, key), ["kind", "entity"])
-    marks = mapped.groupBy("src", "rec_id", "block_no").agg(F.collect_set(F.struct("start_pos", "end_pos", "kind", "found", "surrogate")).alias("marks"))
-    rebuilt = F.udf(lambda t, ms: replace(t, [(m[0], m[1], render(m[2], m[3], m[4])) for m in ms or ()]), "string")
-    return texts.join(marks, ["src", "rec_id", "block_no"], "left").select("src", "rec_id", "block_no", F.when(F.col("marks").isNull(), F.col("text")).otherwise(rebuilt("text", "marks")).alias("text"))

@@ -11,8 +11,9 @@ from .canonical import LEADS, MARKED, PLAIN, TRAILS, K, map_values
 from .conversations import conversations
 from .leakage import leaks
 from .neighbours import neighbours
-from .pii import find_pii, message_texts, with_placeholders, with_surrogates
+from .pii import message_texts, with_placeholders
 from .splitting import split_documents
+from .surrogates import pseudonyms, with_surrogates
 from .tokenizer import encode_corpus
 
 
@@ -35,7 +36,7 @@ def _messages(spark, sf):
 
 
 def p4_found(spark, sf):
-    found = find_pii(_messages(spark, sf), _table(spark, sf, "name_parts"))
+    found = pseudonyms(_messages(spark, sf), _table(spark, sf, "name_parts"), key="p4")
     return found.select("src", "rec_id", "block_no", "kind", "found").distinct()
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import canonical, conversations, leakage, neighbours, pii, splitting, tokenizer
+from palimpsest.llm import canonical, conversations, leakage, neighbours, pii, splitting, surrogates, tokenizer
 from palimpsest.llm.queries import ORACLES, QUERIES
 from test_entry import compare, duck  # noqa: F401
 
@@ -151,8 +151,8 @@ def test_surrogates_are_distinct_consistent_and_formatted(spark):
     names = spark.createDataFrame([("Anna", "given"), ("Bert", "given"), ("Kohl", "family"), ("Lind", "family")], "word string, word_kind string")
     said = ["ask Anna Kohl about it", "assigned to Kohl, Anna; ok", "ANNA KOHL owns this module", "ask Bert Lind about it", "ask Anna Lind about it", "ask Bert Kohl about it", "call 312-555-0153 now", "call (312) 555-0153 now", None, ""]
     df = spark.createDataFrame([("q", i, 0, t) for i, t in enumerate(said)], "src string, rec_id bigint, block_no int, text string")
-    got = {r.rec_id: r.text for r in pii.with_surrogates(df, names, "k").collect()}
-    again = {r.rec_id: r.text for r in pii.with_surrogates(df, names, "k").collect()}
+    got = {r.rec_id: r.text for r in surrogates.with_surrogates(df, names, "k").collect()}
+    again = {r.rec_id: r.text for r in surrogates.with_surrogates(df, names, "k").collect()}
     assert got == again and got[9] == "" and got[8] is None
     name = got[0][4:-9]
     first, last = name.split(" ")
