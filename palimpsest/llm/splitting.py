@@ -1,10 +1,11 @@
 """Splitting oversized documents at natural boundaries, by dynamic programming.
 
-Cut positions are the ends of cells, paragraphs, lines and words, and, only in stretches without
-any of these, places between or within pre-tokens.  Over the cuts of a document, in order, the cost
+Cut positions are all ends of cells, paragraphs, lines, sentences and words, and, only in stretches
+without any of these, all places between tokens.  Over the cuts of a document, in order, the cost
 of a split is the sum of its cut penalties and of the squared deviations of the piece sizes from an
 even size; the cheapest split with every piece within the limit is taken.  A piece starts at the
-earliest natural end at which it shares at most the wanted overlap with the piece before.
+earliest natural end at which it shares at most the wanted overlap with the piece before; after a
+cut at no natural end, at the earliest place between tokens.
 
 Sizes are exact: they count the tokens that a piece has when it is encoded by itself, which at a cut
 within white space differs from its share of the tokens of the document.
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from ..scratch import spread
 from .tokenizer import DEFAULT, WHITE, ByteBPE, load, no_collection, portions
 
-CELL, PARAGRAPH, LINE, WORD, OTHER = range(5)
-KINDS = ("cell", "paragraph", "line", "word", "other")
-PENALTY = np.array([0.0, 0.1, 0.25, 1.0, 6.0])
+CELL, PARAGRAPH, LINE, SENTENCE, WORD, OTHER = range(6)
+KINDS = ("cell", "paragraph", "line", "sentence", "word", "other")
+PENALTY = np.array([0.0, 0.1, 0.25, 0.5, 1.0, 6.0])
 IMBALANCE = 2.0
+TOKENS = 0xFFFFFFF
 PIECE = 0.5
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 
@@ -55,7 +57,7 @@ class _Doc:
         self.pos = np.zeros(len(words) + 1, dtype=np.int64)
         np.cumsum(info & 0x3FFFFFFF, out=self.pos[1:])
         self.sums = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum((info >> 30) & 0x3FFFFFFF, out=self.sums[1:])
+        np.cumsum((info >> 30) & TOKENS, out=self.sums[1:])
         self._ends(info, cells, runs)
 
     def _ends(self, info: np.ndarray, cells: list[int], memo: _Runs) -> None:
@@ -76,10 +78,14 @@ class _Doc:
         has = broken[last] > broken[first]
         begin = self.pos[first]
         self.run_starts = begin
-        word = begin[~has]
-        word_tokens = self.sums[first[~has]]
+        wide = (info >> 58) & 1 == 1
+        stop = wide | ((info >> 59) & 1 == 1)
+        alone = np.nonzero(wide[:-1] & ~starts[1:])[0] + 1  # a sentence may end without white space behind it
+        place = np.concatenate([first[~has], alone])
+        word, word_tokens = self.pos[place], self.sums[place]
+        word_kind = np.where(stop[place - 1], SENTENCE, WORD)
         ok = (word > 0) & (word < n)
-        word, word_tokens = word[ok], word_tokens[ok]
+        word, word_tokens, word_kind = word[ok], word_tokens[ok], word_kind[ok]
         pos, kind, e, s = [], [], [], []
         ends_in_text = set(c for c in cells if 0 < c < n)
         sums, place = self.sums, self.pos
@@ -114,12 +120,12 @@ class _Doc:
             s = np.append(s, self._before(p))
         pos, kind, e = np.array(pos, dtype=np.int64), np.array(kind, dtype=np.int64), np.array(e, dtype=np.int64)
         clash = np.isin(word, pos) if len(pos) else np.zeros(len(word), dtype=bool)
-        word, word_tokens = word[~clash], word_tokens[~clash]
+        word, word_tokens, word_kind = word[~clash], word_tokens[~clash], word_kind[~clash]
         pos = np.concatenate([pos, word])
         order = np.argsort(pos, kind="stable")
         self.natural = (
             pos[order],
-            np.concatenate([kind, np.full(len(word), WORD)])[order],
+            np.concatenate([kind, word_kind])[order],
             np.concatenate([e, word_tokens])[order],
             np.concatenate([s, word_tokens])[order],
         )
@@ -139,40 +145,32 @@ class _Doc:
         k = int(np.searchsorted(self.pos, begin))
         return int(self.sums[k]) + memo.size(self.text[begin:p])
 
-    def _hard(self, low: int, high: int, every: int = 16) -> list[tuple[int, int]]:
+    def _hard(self, low: int, high: int) -> list[tuple[int, int]]:
         """(position, tokens before) between two token counts, where nothing natural stands."""
-        out, last = [], low
+        out = []
         i, j = np.searchsorted(self.sums, low, side="right"), np.searchsorted(self.sums, high, side="left")
         for k in range(max(1, i) - 1, min(len(self.words), j)):
             at = int(self.sums[k])
-            if low < at < high and at - last >= every:
+            if low < at < high:
                 out.append((int(self.pos[k]), at))
-                last = at
             ids = self.bpe.known[self.words[k]]
-            if len(ids) > 2 * every:  # within one long pre-token: where the tokens so far are whole characters
-                raw, here, place = self.words[k].encode("utf-8", "replace"), 0, 0
+            if len(ids) > 1:  # within one long pre-token: where the tokens so far are whole characters
+                raw, here, place, done, chars = self.words[k].encode("utf-8", "replace"), 0, 0, 0, 0
                 for t in ids:
                     here += len(self.bpe.bytes_of(t))
                     place += 1
-                    if at + place - last >= every and low < at + place < high and (here == len(raw) or raw[here] & 0xC0 != 0x80):
-                        out.append((int(self.pos[k]) + len(raw[:here].decode("utf-8", "replace")), at + place))
-                        last = at + place
+                    if low < at + place < high and here < len(raw) and raw[here] & 0xC0 != 0x80:
+                        chars += len(raw[done:here].decode("utf-8", "replace"))
+                        done = here
+                        out.append((int(self.pos[k]) + chars, at + place))
         return out
 
     def split(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """(start, end, tokens, tokens shared with the piece before, kind of the cut at the end)."""
         total = int(self.sums[-1])
         pos, kind, e, s = self.natural
-        strong = kind < WORD
-        gap = 96
-        edges = np.concatenate([[0], e[strong], [total]])
-        where = np.searchsorted(edges, e)
-        wide = edges[np.minimum(where, len(edges) - 1)] - edges[np.maximum(where - 1, 0)] > gap
-        step = np.concatenate([[True], e[1:] // 8 != e[:-1] // 8]) if len(e) else np.zeros(0, dtype=bool)
-        keep = strong | (wide & step)
-        cp, ck, ce = pos[keep], kind[keep], e[keep]
-        cs = s[keep]
-        room = limit - overlap - 16
+        cp, ck, ce, cs = pos, kind, e, s
+        room = max(8, limit - overlap - 16)
         edges = np.concatenate([[0], ce, [total]])
         hard: list[tuple[int, int]] = []
         for k in np.nonzero(np.diff(edges) > room // 2)[0]:
@@ -182,12 +180,15 @@ class _Doc:
             cp, ck, ce, cs = np.concatenate([cp, hp]), np.concatenate([ck, np.full(len(hp), OTHER)]), np.concatenate([ce, ht]), np.concatenate([cs, ht])
             order = np.argsort(cp, kind="stable")
             cp, ck, ce, cs = cp[order], ck[order], ce[order], cs[order]
-        # where the next piece starts: the earliest natural end that shares at most the overlap
-        first = np.searchsorted(s, ce - overlap, side="left")
-        natural = first < len(s)
-        at = np.minimum(first, max(0, len(s) - 1))
-        ok = natural & (pos[at] < cp) if len(s) else np.zeros(len(cp), dtype=bool)
-        np_, ns = np.where(ok, pos[at] if len(s) else 0, cp), np.where(ok, s[at] if len(s) else 0, cs)
+        # where the next piece starts: the earliest natural end that shares at most the overlap, or place if the cut is no natural end
+        np_, ns = cp.copy(), cs.copy()
+        for mine, p, t in ((ck != OTHER, pos, s), (ck == OTHER, cp, cs)):
+            if len(p) and mine.any():
+                at = np.minimum(np.searchsorted(t, ce[mine] - overlap, side="left"), len(t) - 1)
+                ok = p[at] < cp[mine]
+                np_[mine], ns[mine] = np.where(ok, p[at], cp[mine]), np.where(ok, t[at], cs[mine])
+        if hard:
+            np_, ns = np.maximum.accumulate(np_), np.maximum.accumulate(ns)
         # candidates are numbered from 1; 0 is the start of the text and the last one its end
         n = len(cp)
         begin = np.concatenate([[0], ns]).astype(np.int64)
@@ -247,33 +248,52 @@ class _Doc:
             j = m
         return best, back
 
-    def _forced(self, limit: int) -> list[tuple[int, int, int, int, int]]:
-        """Without any usable cuts: as many characters at a time as fit, none shared."""
-        out, start, n = [], 0, len(self.text)
-        while start < n:
-            low, high = 1, min(n - start, 8 * limit)
+    def _forced(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
+        """Where no places between tokens will do: as many characters at a time as fit."""
+        count, out, start, n, shared = self.bpe.count, [], 0, len(self.text), 0
+        while True:
+            step = limit
+            while start + step < n and count(self.text[start : start + step]) <= limit:
+                step *= 2
+            low, high = 1, min(n - start, step)
             while low < high:  # the most characters within the limit
                 middle = (low + high + 1) // 2
-                low, high = (middle, high) if self.bpe.count(self.text[start : start + middle]) <= limit else (low, middle - 1)
-            out.append((start, start + low, self.bpe.count(self.text[start : start + low]), 0, OTHER))
-            start += low
-        return out
+                low, high = (middle, high) if count(self.text[start : start + middle]) <= limit else (low, middle - 1)
+            end = start + low
+            out.append((start, end, count(self.text[start:end]), shared, OTHER))
+            if end == n:
+                return out
+            start = self._within(start + 1, end, overlap)
+            shared = count(self.text[start:end]) if start < end else 0
+
+    def _within(self, start: int, end: int, overlap: int) -> int:
+        """The first place from ``start`` on from which at most ``overlap`` tokens lead to ``end`` (by halving, then step by step)."""
+        low, high = start, end
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if self.bpe.count(self.text[middle:end]) <= overlap else (middle + 1, high)
+        while low < end and self.bpe.count(self.text[low:end]) > overlap:
+            low += 1
+        return low
 
     def pieces(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
-        """As :meth:`split`; where cuts fall within long pre-tokens, sizes are counted again and the limit lowered until they hold."""
-        tight = limit
+        """As :meth:`split`; where cuts fall between the tokens of a word, sizes are counted again and the limit lowered until they hold."""
+        tight, count = limit, self.bpe.count
         while True:
             found = self.split(tight, overlap)
             if found and not any(x[4] == OTHER for x in found):
                 return found
-            exact = [(a, b, self.bpe.count(self.text[a:b]), o, k) for a, b, _, o, k in found]
-            if exact and all(x[2] <= limit for x in exact):
-                return [
-                    (a, b, n, self.bpe.count(self.text[a : found[i - 1][1]]) if i and a < found[i - 1][1] else 0, k) for i, (a, b, n, _, k) in enumerate(exact)
-                ]
+            exact: list[tuple[int, int, int, int, int]] = []
+            for start, end, _, _, kind in found:
+                before = exact[-1][1] if exact else start
+                if start < before and exact[-1][4] == OTHER and count(self.text[start:before]) > overlap:
+                    start = self._within(start, before, overlap)
+                exact.append((start, end, count(self.text[start:end]), count(self.text[start:before]) if start < before else 0, kind))
+            if exact and all(x[2] <= limit and x[3] <= overlap for x in exact):
+                return exact
             tight -= max(8, limit // 32)
-            if tight <= max(2 * overlap, limit // 2):
-                return self._forced(limit)
+            if tight <= max(overlap + overlap // 2, limit // 2):
+                return self._forced(limit, overlap)
 
 
 def split_documents(
@@ -282,10 +302,12 @@ def split_documents(
     """Pieces of every text of more than ``max_tokens`` tokens.
 
     Columns: ``id_col``, piece_no (from 1), start_pos, end_pos (characters from 0, end excluded), n_tokens,
-    overlap_tokens (shared with the piece before), cut (what ends there: cell, paragraph, line, word, other;
-    'end' for the last piece) and text.  Null, empty and short texts give no rows, null ``cells`` no
+    overlap_tokens (shared with the piece before), cut (what ends there: cell, paragraph, line, sentence, word,
+    other; 'end' for the last piece) and text.  ``overlap`` must be less than ``max_tokens``.  Null, empty and short texts give no rows, null ``cells`` no
     cell ends, cell ends outside of the text don't count; repeated rows are split like others.
     """
+    if not 0 <= overlap < max_tokens:
+        raise ValueError(f"an overlap of {overlap} of {max_tokens} tokens")
     ends = F.transform(docs[cells_col], lambda c: c["end_pos"]) if cells_col else F.lit(None).cast("array<int>")
     # a text has at most as many tokens as bytes, so short ones can't be oversized
     rows = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"), ends.alias("ends")).where(F.octet_length("text") > max_tokens)
@@ -296,7 +318,7 @@ def split_documents(
         row, cols = [], [[] for _ in names[1:]]
         for k, (text, words) in enumerate(zip(texts, bpe.encode(texts))):
             info = np.fromiter(map(bpe.shape.__getitem__, words), dtype=np.int64, count=len(words))
-            if int(((info >> 30) & 0x3FFFFFFF).sum()) <= max_tokens:
+            if int(((info >> 30) & TOKENS).sum()) <= max_tokens:
                 continue
             d = _Doc(text, words, bpe, info, [x for x in cells[k] or [] if x is not None], memo)
             for i, (start, end, n, shared, kind) in enumerate(d.pieces(max_tokens, overlap)):

@@ -32,6 +32,8 @@ _ANY = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r
 #: White space and line ends of the pattern's character classes (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 BREAKS = frozenset("\n\x0b\x0c\r\x85\u2028\u2029")
+#: What ends a sentence before white space, what ends one by itself, and what may close a quotation behind it (fixed values).
+STOPS, WIDE_STOPS, CLOSERS = frozenset(".!?…‽؟।"), frozenset("。！？｡"), "\"'”’»)]}」』）】"
 NONE = np.int32(2**30)
 LONGEST = 64  # pre-tokens of more bytes have a tree of their own
 REMEMBER = 300_000
@@ -224,8 +226,9 @@ class ByteBPE:
             for w in todo:
                 flags = 0
                 if w[0] in WHITE:
-                    flags = 2 if w.strip(WHITE) else 3 if BREAKS.isdisjoint(w) else 7
-                self.shape[w] = len(w) | len(self.known[w]) << 30 | flags << 60
+                    flags = 8 if w.strip(WHITE) else 12 if BREAKS.isdisjoint(w) else 28
+                last = w.rstrip(CLOSERS)[-1:]
+                self.shape[w] = len(w) | len(self.known[w]) << 30 | (flags | (last in STOPS) << 1 | (last in WIDE_STOPS)) << 58
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """The pre-tokens of each text, all of them known afterwards."""

@@ -79,11 +79,55 @@ def test_pieces_of_odd_texts(spark, library):
             check_pieces(library, t, mine, 512, 64)
         else:
             assert not mine
+    for i in (1, 2, 5, 9):  # unbroken texts share tokens as well
+        cut = {r.piece_no: r.cut for r in rows if r.doc_id == i}
+        assert all(40 <= r.overlap_tokens <= 64 for r in rows if r.doc_id == i and cut.get(r.piece_no - 1) == "other") and "other" in cut.values()
     natural = [r for r in rows if r.doc_id in (0, 4)]
     assert all(r.cut != "other" for r in natural) and all(48 <= r.overlap_tokens <= 64 for r in natural if r.piece_no > 1)
     assert splitting.split_documents(df.limit(0)).count() == 0
 
 
+def test_pieces_end_at_sentences(spark, library):
+    rnd = random.Random(8)
+    wide = "".join(f"{rnd.choice(['行数', '結果', '次の値'])}は{n}です。" for n in range(400))
+    prose = " ".join(" ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(rnd.randint(5, 12))) + "." for _ in range(200))
+    df = spark.createDataFrame([(1, wide), (2, prose)], "doc_id bigint, text string")
+    rows = splitting.split_documents(df, cells_col=None).collect()
+    for i, t in ((1, wide), (2, prose)):
+        mine = [r for r in rows if r.doc_id == i]
+        check_pieces(library, t, mine, 512, 64)
+        assert {r.cut for r in mine} == {"sentence", "end"} and all(r.overlap_tokens >= 40 for r in mine if r.piece_no > 1)
+    for overlap in (-1, 512):
+        with pytest.raises(ValueError):
+            splitting.split_documents(df, cells_col=None, overlap=overlap)
+
+
+def test_program_is_the_cheapest_over_all_ends():
+    bpe = tokenizer.ByteBPE()
+    bpe.shape = {}
+    rnd = random.Random(9)
+    text = "".join(rnd.choice(["aa ", "bb. ", "cc\n", "dd ee ", "ff\n\n"]) for _ in range(300))
+    words = bpe.encode([text])[0]
+    doc = splitting._Doc(text, words, bpe, np.array([bpe.shape[w] for w in words]), [], splitting._Runs(bpe))
+    pos, kind, e, s = doc.natural
+    limit, overlap, total = 64, 8, int(doc.sums[-1])
+    parts = max(1, -(-(total - overlap) // (limit - overlap)))
+    even = (total + overlap * (parts - 1)) / parts
+    first = [next((j for j in range(len(s)) if s[j] >= e[i] - overlap), i) for i in range(len(e))]
+    begin, ends = [0, *(s[min(f, i)] for i, f in enumerate(first))], [0, *e, total]
+    fine = [0, *splitting.PENALTY[kind], 0]
+    best = [0.0] + [float("inf")] * (len(ends) - 1)
+    least = min(limit // 2, int(0.75 * even))
+    for j in range(1, len(ends)):
+        for i in range(j):
+            size = ends[j] - begin[i]
+            if size <= limit and (size >= least or j == len(ends) - 1):
+                best[j] = min(best[j], best[i] + splitting.IMBALANCE / limit**2 * 4 * (size - even) ** 2 + fine[j] + splitting.PIECE)
+    found = doc.pieces(limit, overlap)
+    cost = sum(splitting.IMBALANCE / limit**2 * 4 * (n - even) ** 2 + splitting.PIECE for _, _, n, _, _ in found) + sum(splitting.PENALTY[k] for *_, k in found[:-1])
+    assert abs(cost - best[-1]) < 1e-9
+
+
 # -- p2 ------------------------------------------------------------------------------------
 def brute_neighbours(vecs, k, low):
     ids = sorted(vecs)
