@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ KINDS = ("cell", "paragraph", "line", "sentence", "word", "other")
 PENALTY = np.array([0.0, 0.1, 0.25, 0.5, 1.0, 6.0])
 IMBALANCE = 2.0
 TOKENS = 0xFFFFFFF
+EDGE = 2
 PIECE = 0.5
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 
@@ -147,23 +149,20 @@ class _Doc:
 
     def _hard(self, low: int, high: int) -> list[tuple[int, int]]:
         """(position, tokens before) between two token counts, where nothing natural stands."""
-        out = []
         i, j = np.searchsorted(self.sums, low, side="right"), np.searchsorted(self.sums, high, side="left")
-        for k in range(max(1, i) - 1, min(len(self.words), j)):
-            at = int(self.sums[k])
-            if low < at < high:
-                out.append((int(self.pos[k]), at))
-            ids = self.bpe.known[self.words[k]]
-            if len(ids) > 1:  # within one long pre-token: where the tokens so far are whole characters
-                raw, here, place, done, chars = self.words[k].encode("utf-8", "replace"), 0, 0, 0, 0
-                for t in ids:
-                    here += len(self.bpe.bytes_of(t))
-                    place += 1
-                    if low < at + place < high and here < len(raw) and raw[here] & 0xC0 != 0x80:
-                        chars += len(raw[done:here].decode("utf-8", "replace"))
-                        done = here
-                        out.append((int(self.pos[k]) + chars, at + place))
-        return out
+        i, j = max(1, i) - 1, min(len(self.words), j)
+        ids = np.fromiter(chain.from_iterable(map(self.bpe.known.__getitem__, self.words[i:j])), dtype=np.int64)
+        if not len(ids):
+            return []
+        start, stretch = int(self.pos[i]), self.text[int(self.pos[i]) : int(self.pos[j])]
+        upto = np.concatenate([[0], np.cumsum(self.bpe.sizes[ids])[:-1]])  # bytes and tokens before each token
+        at = int(self.sums[i]) + np.arange(len(ids))
+        if not stretch.isascii():  # only where the tokens so far are whole characters
+            opens = np.frombuffer(stretch.encode("utf-8", "replace"), dtype=np.uint8) & 0xC0 != 0x80
+            whole = opens[upto]
+            upto, at = np.cumsum(opens)[upto[whole]] - 1, at[whole]
+        ok = (at > low) & (at < high)
+        return list(zip((start + upto[ok]).tolist(), at[ok].tolist()))
 
     def split(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """(start, end, tokens, tokens shared with the piece before, kind of the cut at the end)."""
@@ -193,12 +192,16 @@ class _Doc:
         n = len(cp)
         begin = np.concatenate([[0], ns]).astype(np.int64)
         ends = np.concatenate([[0], ce, [total]]).astype(np.int64)
+        if hard:  # pieces that start or end between the tokens of a word may have a few more by themselves
+            ends[1:-1] += EDGE * (ck == OTHER)
+            begin[1:] -= EDGE * (ck == OTHER)
+            begin = np.maximum.accumulate(begin)
         fine = np.concatenate([[0.0], PENALTY[ck], [0.0]]) + PIECE
         parts = max(1, -(-(total - overlap) // (limit - overlap)))
         even = (total + overlap * (parts - 1)) / parts
         scale = IMBALANCE / limit**2 * 4
         cuts: list[int] = []
-        for least in (min(limit // 2, int(0.75 * even)), 3 * overlap // 2, 1):  # small pieces are better than none, and than a cut within a word
+        for least in (min(limit // 2, int(0.75 * even)), 3 * overlap // 2, 1)[bool(hard) :]:  # small pieces are better than none, and than a cut within a word
             best, back = self._cheapest(begin, ends, fine, even, limit, scale, least)
             if not np.isfinite(best[-1]):
                 continue
@@ -206,8 +209,7 @@ class _Doc:
             while j:
                 cuts.append(j)
                 j = int(back[j])
-            if not hard or least <= 3 * overlap // 2 or not any(j <= n and ck[j - 1] == OTHER for j in cuts):
-                break
+            break
         if not cuts:
             return []
         out, i = [], 0
@@ -226,10 +228,11 @@ class _Doc:
         best = np.full(n, np.inf)
         best[0] = 0.0
         back = np.zeros(n, dtype=np.int64)
+        at = np.arange(n)
         low = np.searchsorted(begin, ends - limit, side="left")
-        high = np.minimum(np.searchsorted(begin, ends - least, side="right"), np.arange(n))
+        high = np.minimum(np.searchsorted(begin, ends - least, side="right"), at)
         high[-1] = n - 1
-        upto = np.searchsorted(high, np.arange(n), side="right").tolist()  # cuts whose predecessors all lie before this one
+        upto = np.searchsorted(high, at, side="right").tolist()  # cuts whose predecessors all lie before this one
         lows, highs, j = low.tolist(), high.tolist(), 1
         while j < n:
             m = max(j + 1, min(upto[j], n))
@@ -238,12 +241,19 @@ class _Doc:
                 m = max(j + 1, n - 1)
                 b = highs[m - 1]
             if b > a:
-                size = ends[j:m, None] - begin[None, a:b] - even
-                cost = best[a:b] + scale * size * size
-                at = np.arange(a, b)
-                cost[(at < low[j:m, None]) | (at >= high[j:m, None])] = np.inf
+                # (end - begin - even) squared, without what is the same for all predecessors
+                end = ends[j:m] - even - begin[a]
+                from_ = (begin[a:b] - begin[a]).astype(np.float64)
+                cost = np.multiply.outer(end, (-2 * scale) * from_)
+                cost += best[a:b] + scale * from_ * from_
+                if lows[m - 1] > a:  # only the corners of the band need to be cut off
+                    corner = cost[:, : lows[m - 1] - a]
+                    np.copyto(corner, np.inf, where=at[a : lows[m - 1]] < low[j:m, None])
+                if highs[j] < b:
+                    corner = cost[:, max(0, highs[j] - a) :]
+                    np.copyto(corner, np.inf, where=at[max(a, highs[j]) : b] >= high[j:m, None])
                 k = cost.argmin(axis=1)
-                best[j:m] = cost[np.arange(m - j), k] + fine[j:m]
+                best[j:m] = cost[at[: m - j], k] + scale * end * end + fine[j:m]
                 back[j:m] = a + k
             j = m
         return best, back

@@ -87,11 +87,9 @@ class ByteBPE:
         self.first = self._rank(np.repeat(b, 256), np.tile(b, 256)).reshape(256, 256)
         self.known: dict[str, tuple[int, ...]] = {}
         self.shape: dict[str, int] | None = None  # filled where a caller wants it
-        byte = {c: b for b, c in char.items()}
-        self._text = {i: bytes(byte[c] for c in w) for w, i in vocab.items() if all(c in byte for c in w)}
-
-    def bytes_of(self, token: int) -> bytes:
-        return self._text[token]
+        self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of each token
+        for w, i in vocab.items():
+            self.sizes[i] = len(w)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a.astype(np.int64) << 32) | b
