@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .canonical import LEADS, MARKED, PLAIN, TRAILS, K, map_values
+from .canonical import map_values
 from .conversations import conversations
 from .leakage import leaks
 from .neighbours import neighbours
@@ -57,13 +57,26 @@ def p5_roles(spark, sf):
     return told.groupBy("role").agg(F.count("*").alias("n_turns"), F.countDistinct("root_uuid").alias("n_conversations"))
 
 
+#: What people write around a topic (fixed values).
+LEADS = ("re", "fwd", "follow up", "update on", "quick sync about", "q1", "q2", "q3", "q4", "the")
+TRAILS = ("discussion", "cont", "notes", "next steps", "status", "question")
+
+
+def _mapped(spark, sf):
+    return map_values(_table(spark, sf, "topics"), _table(spark, sf, "topic_reference"), leads=LEADS, trails=TRAILS)
+
+
 def p6_found(spark, sf):
-    return map_values(_table(spark, sf, "topics"), _table(spark, sf, "topic_reference"))
+    return _mapped(spark, sf).select("topic_id", "canon_id")
+
+
+def p6_ambiguous(spark, sf):
+    return _mapped(spark, sf).where("ambiguous").groupBy("canon_id").agg(F.count("*").alias("n_topics"))
 
 
 def p6_unmatched(spark, sf):
     topics = _table(spark, sf, "topics")
-    none = map_values(topics, _table(spark, sf, "topic_reference")).where("canon_id = -1")
+    none = _mapped(spark, sf).where("canon_id = -1")
     return topics.join(none, "topic_id", "left_semi").groupBy("name", "normalized_name").agg(F.count("*").alias("n_topics"))
 
 
@@ -83,7 +96,7 @@ def p9_pieces(spark, sf):
     return split_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p4_found, p4_placeholders, p4_surrogates, p5_found, p5_roles, p6_found, p6_unmatched, p7_ids, p8_found, p8_leaks, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p4_found, p4_placeholders, p4_surrogates, p5_found, p5_roles, p6_found, p6_ambiguous, p6_unmatched, p7_ids, p8_found, p8_leaks, p9_pieces)}
 
 _TURNS = r"""
 WITH RECURSIVE lines AS (
@@ -110,9 +123,9 @@ kept AS (
 
 
 def _clean(c: str) -> str:
-    flat = f"translate(lower(regexp_replace({c}, '\\pM', '', 'g')), '{MARKED}', '{PLAIN}')"
-    bare = f"regexp_replace(trim(regexp_replace({flat}, '[^a-z0-9]+', ' ', 'g')), '^(({'|'.join(LEADS)}) )+', '')"
-    return f"replace(regexp_replace({bare}, '( ({'|'.join(TRAILS)}))+$', ''), ' ', '|')"
+    flat = f"translate(lower(strip_accents({c})), 'ø', 'o')"
+    bare = f"regexp_replace(trim(regexp_replace({flat}, '[^a-z0-9]+', ' ', 'g')), '^((re|fwd|follow up|update on|quick sync about|q[1-4]|the) )+', '')"
+    return f"replace(regexp_replace({bare}, '( (discussion|cont|notes|next steps|status|question))+$', ''), ' ', '|')"
 
 
 def _variants(n: int) -> str:
@@ -127,30 +140,33 @@ def _variants(n: int) -> str:
 
 _CANONICAL = f"""
 WITH named AS (
-  SELECT canon_id, {_clean('normalized_name')} AS words FROM topic_reference
-  UNION SELECT canon_id, {_clean('label')} FROM topic_reference
-  UNION SELECT canon_id, {_clean('alias')} FROM (SELECT canon_id, unnest(aliases) AS alias FROM topic_reference)),
+  SELECT canon_id, normalized_name AS raw FROM topic_reference
+  UNION SELECT canon_id, label FROM topic_reference
+  UNION SELECT canon_id, unnest(aliases) FROM topic_reference),
 split AS (
-  SELECT canon_id, w, [CASE WHEN x LIKE '%y' THEN x[:-2] || 'ies' ELSE x || 's' END FOR x IN w] AS p
-  FROM (SELECT canon_id, string_split(words, '|') AS w FROM named WHERE words <> '')),
+  SELECT canon_id, exact, w, [CASE WHEN x LIKE '%y' THEN x[:-2] || 'ies' ELSE x || 's' END FOR x IN w] AS p
+  FROM (SELECT canon_id, upper(raw) = raw AND regexp_full_match(replace(raw, '.', ''), '[A-Z0-9]{{1,6}}') AS exact, string_split({_clean('raw')}, '|') AS w FROM named) WHERE w <> ['']),
 forms AS (
-  SELECT form, min(canon_id) AS canon_id FROM (
-    SELECT canon_id, unnest({_variants(2)}) AS form FROM split WHERE len(w) = 2
-    UNION ALL SELECT canon_id, unnest({_variants(3)}) FROM split WHERE len(w) = 3
-    UNION ALL SELECT canon_id, array_to_string(w, '') FROM split) GROUP BY form),
+  SELECT form, bool_and(exact) AS exact, min(canon_id) AS canon_id, max(canon_id) AS last_id FROM (
+    SELECT canon_id, unnest({_variants(2)}) AS form, false AS exact FROM split WHERE len(w) = 2
+    UNION ALL SELECT canon_id, unnest({_variants(3)}), false FROM split WHERE len(w) = 3
+    UNION ALL SELECT canon_id, array_to_string(w, ''), exact FROM split
+    UNION ALL SELECT canon_id, '#' || array_to_string(list_sort([x FOR x IN w IF x <> 'of']), ' '), true FROM split WHERE len(w) > 3) GROUP BY form),
 typed AS (
-  SELECT DISTINCT topic_id, replace(v, '|', '') AS s
+  SELECT DISTINCT topic_id, replace(v, '|', '') AS s, '#' || array_to_string(list_sort([x FOR x IN string_split(v, '|') IF x <> 'of']), ' ') AS bag
   FROM (SELECT topic_id, unnest([{_clean('name')}, {_clean('normalized_name')}]) AS v FROM topics) WHERE v <> ''),
+whole AS (SELECT DISTINCT s, canon_id, last_id FROM typed JOIN forms ON form = s OR form = bag),
 near AS (
-  SELECT s, form, canon_id, levenshtein(s, form) AS far FROM (SELECT DISTINCT s FROM typed WHERE s NOT IN (SELECT form FROM forms)) v
-  JOIN forms ON length(form) >= 10 AND abs(length(form) - length(s)) <= {K}),
+  SELECT s, form, canon_id, last_id, levenshtein(s, form) AS far FROM (SELECT DISTINCT s FROM typed WHERE s NOT IN (SELECT s FROM whole)) v
+  JOIN forms ON NOT exact AND length(form) >= 5 AND abs(length(form) - length(s)) <= 4),
+swapped AS (SELECT *, [s[1:i-1] || s[i+1:i+1] || s[i:i] || s[i+2:] FOR i IN range(1, length(s))] AS swaps FROM near WHERE far <= 4),
 matches AS (
-  SELECT form AS s, canon_id, 0 AS far FROM forms
+  SELECT s, canon_id, last_id, 0 AS far FROM whole
   UNION ALL
-  SELECT s, canon_id, far FROM near WHERE far <= 2
-    OR (far = 3 AND list_bool_or([levenshtein(s[1:i-1] || s[i+1:i+1] || s[i:i] || s[i+2:], form) <= 1 FOR i IN range(1, length(s))]))
-    OR (far <= 4 AND list_sort(string_split(s, '')) = list_sort(string_split(form, '')))),
-hit AS (SELECT topic_id, arg_min(canon_id, far * 100000 + canon_id) AS canon_id FROM typed JOIN matches USING (s) GROUP BY topic_id)
+  SELECT s, canon_id, last_id, far FROM swapped WHERE CASE WHEN length(form) < 10 THEN far <= 1 OR list_contains(swaps, form)
+    ELSE far <= 2 OR (far = 3 AND list_bool_or([levenshtein(x, form) <= 1 FOR x IN swaps])) OR list_sort(string_split(s, '')) = list_sort(string_split(form, '')) END),
+hit AS (
+  SELECT topic_id, arg_min(canon_id, far * 100000 + canon_id) AS canon_id, arg_min(last_id, far * 100000 + 99999 - last_id) AS last_id FROM typed JOIN matches USING (s) GROUP BY topic_id)
 """
 
 _GRAMS = r"""
@@ -171,6 +187,7 @@ ORACLES = {
     "p2_found": _COSINES.format(where="") + "SELECT DISTINCT least(vec_id, other_id) AS vec_a, greatest(vec_id, other_id) AS vec_b FROM best WHERE rank <= 5 AND similarity >= 0.85",
     "p2_knn": _COSINES.format(where="WHERE a.vec_id % 50 = 0") + "SELECT vec_id, other_id, similarity, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 5",
     "p6_found": _CANONICAL + "SELECT DISTINCT t.topic_id, CAST(coalesce(hit.canon_id, -1) AS INTEGER) AS canon_id FROM topics t LEFT JOIN hit ON hit.topic_id = t.topic_id",
+    "p6_ambiguous": _CANONICAL + "SELECT canon_id, count(*) AS n_topics FROM hit WHERE canon_id <> last_id GROUP BY canon_id",
     "p6_unmatched": _CANONICAL + "SELECT name, normalized_name, count(*) AS n_topics FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM hit) GROUP BY name, normalized_name",
     "p8_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) d JOIN ({_GRAMS.format(id='item_id', table='eval_items')}) i ON d.gram = i.gram",
     "p5_found": _TURNS + "SELECT root AS root_uuid, CAST(seq_no AS INTEGER) AS seq_no, uuid FROM told WHERE root IN (SELECT root FROM kept)",

@@ -236,11 +236,20 @@ def test_mapping(spark):
     typed = [("Budget Review", 1), ("review of BUDGET (cont.)", 1), ("bugdet reveiw", 1), ("BudgetsReview", 1), ("policies review", 2), ("B.U.R.E.V", 1), ("burex", -1), ("monney-review", 1), ("Büdget  réview?", 1), ("budget review europe", 3), ("budget picnic", -1), ("misc", -1), ("", -1), (None, -1), ("bdgtrvw", -1), ("x" * 5000, -1)]
     rows = [(i, t, None, "x") for i, (t, _) in enumerate(typed)] + [(100, "misc", "policy-review", "x"), (None, "Budget Review", None, "x"), (0, "Budget Review", None, "x")]
     df = spark.createDataFrame(rows, "topic_id bigint, name string, normalized_name string, canon_id string")
-    got = {r.topic_id: r.canon_id for r in canonical.map_values(df, ref).collect()}
+    got = {r.topic_id: r.canon_id for r in canonical.map_values(df, ref, trails=("cont",)).collect()}
     assert got == {i: c for i, (_, c) in enumerate(typed)} | {100: 2}
     assert canonical.map_values(df.limit(0), ref).count() == 0 and {r.canon_id for r in canonical.map_values(df, ref.limit(0)).collect()} == {-1}
 
 
+def test_short_spellings_ambiguity_and_free_word_order(spark):
+    ref = spark.createDataFrame([(1, "berlin", "Berlin", ["NYC"]), (2, "siemens", "Siemens", []), (3, "nurse", "Nurse", []), (4, "new-york-city-of-dreams", "New York City of Dreams", None), (5, "Berlin", "berlin", []), (6, "oslo", "Oslo", [])], "canon_id int, normalized_name string, label string, aliases array<string>")
+    typed = [("Berlni", 1), ("Simens", 2), ("nurze", 3), ("Siemenss", 2), ("Sie mens", 2), ("Brelni", -1), ("osla", -1), ("OSLO", 6), ("nyx", -1), ("N.Y.C", 1), ("dreams of new york city", 4), ("city of new dreams york", 4), ("new york city", -1), ("nurseryschool", -1)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(typed)], "topic_id int, name string")
+    rows = canonical.map_values(df, ref, value_cols=("name",)).collect()
+    assert {r.topic_id: r.canon_id for r in rows} == {i: c for i, (_, c) in enumerate(typed)}
+    assert {r.topic_id for r in rows if r.ambiguous} == {0}
+
+
 # -- p8 ------------------------------------------------------------------------------------
 def test_leaks(spark):
     rnd = random.Random(6)
