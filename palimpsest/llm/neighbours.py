@@ -1,8 +1,9 @@
 """Most similar vectors for every vector, as a block matrix join.
 
 Unit vectors are quantised to int8 codes with a scale and the exact norm of what the codes miss.
-The vectors are cut into blocks; every pair of blocks is one tile, whose float32 products of the
-vectors restored from their codes bound each cosine from above and below.  Pairs that can still be among a vector's k best (and reach the
+The vectors are cut into blocks; every pair of blocks is one tile.  The products of the codes are whole
+numbers (held in float32, whose products the processor is fast at and which is exact up to 2**24, that is
+1,040 dimensions); times the two scales they bound each cosine from above and below.  Pairs that can still be among a vector's k best (and reach the
 wanted cosine) are recomputed in float and kept in a heap of k entries per vector, whose worst
 entry raises the bar for what follows in the tile.  The heaps of all tiles are merged by Spark.
 
@@ -25,7 +26,7 @@ from ..scratch import Scratch
 BLOCK_ROWS = 16_384
 SIDE = 1_024
 PACK = 2_048
-#: Rounding of float32 products of unit vectors, and half of the last of six decimals.
+#: Rounding of the scales and their products in float32, and half of the last of six decimals.
 SLACK = 4e-6
 
 
@@ -53,7 +54,7 @@ class _Side:
     def __init__(self, ids: np.ndarray, raw: np.ndarray, k: int, low: float):
         self.ids = ids
         self.unit, codes, scale, self.error = quantise(raw.astype(np.float64))
-        self.hat = (codes * scale[:, None]).astype(np.float32)
+        self.codes, self.scale = codes.astype(np.float32), scale.astype(np.float32)
         self.k = k
         self.sim = np.full((len(ids), k), -np.inf)
         self.other = np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -88,7 +89,9 @@ def tile(a: _Side, b: _Side, same: bool, both: bool, low: float) -> None:
         ai = slice(i, min(i + SIDE, len(a.ids)))
         for j in range(i if same else 0, len(b.ids), SIDE):
             bj = slice(j, min(j + SIDE, len(b.ids)))
-            s = a.hat[ai] @ b.hat[bj].T
+            s = a.codes[ai] @ b.codes[bj].T
+            s *= a.scale[ai, None]
+            s *= b.scale[bj]
             ea, eb = a.error[ai], b.error[bj]
             near = ea + float(eb.max()) * (1 + float(ea.max())) + SLACK
             bar = a.bar[ai] - near

@@ -141,8 +141,8 @@ def brute_neighbours(vecs, k, low):
     return out
 
 
-@pytest.mark.parametrize("low", [None, 0.85])
-def test_neighbours_match_brute_force(spark, low):
+@pytest.mark.parametrize(("low", "block_rows"), [(None, 40), (0.85, 40), (None, 3)])
+def test_neighbours_match_brute_force(spark, low, block_rows):
     rnd = np.random.default_rng(4)
     centers = rnd.standard_normal((12, 8))
     vecs = {i: (centers[i % 12] + 0.25 * rnd.standard_normal(8)).round(4).tolist() for i in range(150)}
@@ -150,10 +150,10 @@ def test_neighbours_match_brute_force(spark, low):
     rows = [(i, v, "x") for i, v in vecs.items()] + [(900, None, "x"), (901, [0.0] * 8, "x"), (902, [1.0] * 7, "x"), (903, [float("nan")] + [1.0] * 7, "x"), (None, [1.0] * 8, "x"), (904, [1.0] * 7 + [None], "x")]
     rows += rows[:5]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id string")
-    got = {(r.id, r.other, r.rank) for r in neighbours.neighbours(df, k=5, dim=8, min_cosine=low, block_rows=40).collect()}
+    got = {(r.id, r.other, r.rank) for r in neighbours.neighbours(df, k=5, dim=8, min_cosine=low, block_rows=block_rows).collect()}
     assert got == brute_neighbours(vecs, 5, -2 if low is None else low)
     if low is None:
-        asked = {(r.id, r.other, r.rank) for r in neighbours.neighbours(df, k=5, dim=8, queries=F.expr("id % 10 = 0"), block_rows=40).collect()}
+        asked = {(r.id, r.other, r.rank) for r in neighbours.neighbours(df, k=5, dim=8, queries=F.expr("id % 10 = 0"), block_rows=block_rows).collect()}
         assert asked == {x for x in brute_neighbours(vecs, 5, -2) if x[0] % 10 == 0}
     assert neighbours.neighbours(df.limit(0), dim=8).count() == 0
 
