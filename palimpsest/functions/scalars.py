@@ -31,7 +31,7 @@ def url_kind(url: Column) -> Column:
     return (
         F.when(F.contains(url, F.lit("docs.google.com/document")), "gdoc")
         .when(F.contains(url, F.lit("docs.google.com/spreadsheets")), "gsheet")
-        .when(url.rlike(r"\.(md|txt|json|csv)$") | F.contains(url, F.lit("raw.githubusercontent.com")), "raw")
+        .when(url.rlike(r"\.(md|txt)$") | F.contains(url, F.lit("raw.githubusercontent.com")), "raw")
         .otherwise("url")
     )
 
@@ -54,7 +54,7 @@ def relation_name(c: Column) -> Column:
 def truncate_sentence(c: Column, longest: int) -> Column:
     """At most ``longest`` characters, cut after the last full stop within them, else at the last line end, else hard."""
     cut = F.substring(c, 1, longest)
-    stop = F.regexp_extract(cut, r"(?s)^(.*\.)\s", 1)
+    stop = F.regexp_extract(cut, r"(?s)^(.*\.) ", 1)
     line = F.regexp_extract(cut, r"(?s)^(.*)\n", 1)
     return F.when(F.length(c) <= longest, c).when(stop != "", stop).when(line != "", line).otherwise(cut)
 

@@ -74,12 +74,28 @@ def merge_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, key: str) ->
     return edges.select("src", "rel_type", "dst").unionByName(ok.select("src", "rel_type", "dst")).distinct()
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], texts: list[str], created: list[str]) -> DataFrame:
-    """Merge by key: non-empty new texts overwrite, '' and null keep the old ones; ``created`` columns keep their first value."""
-    a, b = old.alias("a"), new.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
+def upsert(old: DataFrame, new: DataFrame, key: list[str], texts: list[str], created: list[str], given: list[str] | None = None) -> DataFrame:
+    """Merge by key, nulls in it being equal: non-empty new texts overwrite, '' and null keep the old ones.
+
+    ``created`` columns keep their first value, ``given`` ones are overwritten where the new value is not null,
+    and all other columns of ``old`` stay (null in added rows).  Of several new rows for one key the largest value
+    of each column holds, so that none of them multiplies; an empty ``new`` changes nothing.
+    """
+    given = given or []
+    fold = [F.max(F.nullif(F.col(c), F.lit(""))).alias(c) for c in texts] + [F.max(c).alias(c) for c in (*created, *given)]
+    b = new.groupBy(*key).agg(F.lit(True).alias("_new"), *fold).alias("b")
+    a = old.withColumn("_old", F.lit(True)).alias("a")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
     both = a.join(b, on, "full_outer")
-    cols = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key]
-    cols += [F.coalesce(F.nullif(F.col(f"b.{c}"), F.lit("")), F.col(f"a.{c}")).alias(c) for c in texts]
-    cols += [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in created]
+    there = F.col("a._old").isNotNull()
+    cols = []
+    for c in old.columns:
+        if c in key:
+            cols.append(F.when(there, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c))
+        elif c in texts or c in given:
+            cols.append(F.coalesce(f"b.{c}", f"a.{c}").alias(c))
+        elif c in created:
+            cols.append(F.when(there, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c))
+        else:
+            cols.append(F.col(f"a.{c}").alias(c))
     return both.select(*cols)

@@ -31,11 +31,18 @@ def blocks(turns: DataFrame, kind: str) -> DataFrame:
     return turns.select("uuid", "session_id", F.posexplode("message.blocks").alias("at", "b")).where(F.col("b.block_type") == kind)
 
 
+def result_text(content: Column) -> Column:
+    """Words of a tool result: a string as it is, the texts of a JSON list of blocks joined by line ends; null where there are none."""
+    texts = F.transform(F.filter(F.from_json(content, "array<struct<text string>>"), lambda b: b["text"].isNotNull()), lambda b: b["text"])
+    return F.nullif(F.when(content.startswith("["), F.coalesce(F.array_join(texts, "\n"), content)).otherwise(content), F.lit(""))
+
+
 def tool_calls(turns: DataFrame) -> DataFrame:
-    """tool_call_id, uuid, session_id, name, input, is_error of every call; errors come from the results that name it."""
+    """tool_call_id, uuid, session_id, name, input, is_error, error_text of every call; errors come from the results that name it, of several texts the smallest."""
     calls = blocks(turns, "tool_use").where("b.id <> ''").select(F.col("b.id").alias("tool_call_id"), "uuid", "session_id", F.col("b.name").alias("name"), F.col("b.input").alias("input"))
     calls = calls.groupBy("tool_call_id").agg(F.min(F.struct("uuid", "session_id", "name", "input")).alias("c")).select("tool_call_id", "c.*")
-    results = blocks(turns, "tool_result").where("b.tool_use_id <> ''").groupBy(F.col("b.tool_use_id").alias("tool_call_id")).agg(F.bool_or(F.coalesce("b.is_error", F.lit(False))).alias("is_error"))
+    bad = F.coalesce("b.is_error", F.lit(False))
+    results = blocks(turns, "tool_result").where("b.tool_use_id <> ''").groupBy(F.col("b.tool_use_id").alias("tool_call_id")).agg(F.bool_or(bad).alias("is_error"), F.min(F.when(bad, result_text(F.col("b.content")))).alias("error_text"))
     return calls.join(results, "tool_call_id", "left")
 
 

@@ -78,7 +78,7 @@ def one_hop(spark, sf):
     return e.join(c.select(F.col("concept_id").alias("dst"), F.col("name").alias("dst_name")), "dst").select("src", "src_name", "dst", "dst_name")
 
 
-@q("SELECT dst AS concept_id, src AS from_id, rel_type FROM edges WHERE dst % 7 = 0")
+@q("SELECT dst AS concept_id, src AS from_id, rel_type FROM edges")
 def reverse_hop(spark, sf):
     return model.edges(spark, sf).select(F.col("dst").alias("concept_id"), F.col("src").alias("from_id"), "rel_type")
 
@@ -89,26 +89,26 @@ def undirected_neighbours(spark, sf):
     return e.select(F.col("src").alias("concept_id"), F.col("dst").alias("neighbour")).distinct()
 
 
-_WALK = "steps AS (SELECT DISTINCT src, dst FROM edges WHERE rel_type NOT IN ('INVALIDATED_BY', 'SUPERSEDES')), w AS (SELECT concept_id AS start, concept_id AS spot, 0 AS hops FROM concepts WHERE concept_id % 20 = 0 UNION ALL SELECT w.start, s.dst, w.hops + 1 FROM w JOIN steps s ON s.src = w.spot WHERE w.hops < {d})"
+_WALK = "steps AS (SELECT DISTINCT src, dst FROM edges WHERE rel_type NOT IN ('INVALIDATED_BY', 'SUPERSEDES')), w AS (SELECT concept_id AS start, concept_id AS spot, 0 AS hops FROM concepts UNION SELECT w.start, s.dst, w.hops + 1 FROM w JOIN steps s ON s.src = w.spot WHERE w.hops < {d})"
 
 
 @q("SELECT start, spot AS dst, min(hops) AS hops FROM w WHERE hops > 0 GROUP BY 1, 2", more=_WALK.format(d=2))
 def walk_depth2(spark, sf):
-    starts = model.concepts(spark, sf).where("concept_id % 20 = 0").select(F.col("concept_id").alias("start"))
+    starts = model.concepts(spark, sf).select(F.col("concept_id").alias("start"))
     return graph.walk(model.edges(spark, sf), starts, 2)
 
 
 @q(f"SELECT start, spot AS dst, min(hops) AS hops FROM w JOIN concepts c ON c.concept_id = w.spot WHERE hops > 0 AND c.valid_at <= TIMESTAMPTZ '{AT}' AND (c.invalid_at IS NULL OR c.invalid_at > TIMESTAMPTZ '{AT}') AND (c.expired_at IS NULL OR c.expired_at > TIMESTAMPTZ '{AT}') GROUP BY 1, 2", more=_WALK.format(d=3))
 def walk_depth3_asof(spark, sf):
     c = model.concepts(spark, sf)
-    starts = c.where("concept_id % 20 = 0").select(F.col("concept_id").alias("start"))
+    starts = c.select(F.col("concept_id").alias("start"))
     live = c.where(temporal.in_force(_at())).select(F.col("concept_id").alias("dst"))
     return graph.walk(model.edges(spark, sf), starts, 3).join(live, "dst", "left_semi").select("start", "dst", "hops")
 
 
-@q("SELECT start, spot AS node, min(hops) AS depth FROM ch GROUP BY 1, 2", more="ch AS (SELECT concept_id AS start, concept_id AS spot, 0 AS hops FROM concepts WHERE concept_id % 4 = 3 UNION ALL SELECT ch.start, e.dst, ch.hops + 1 FROM ch JOIN edges e ON e.src = ch.spot AND e.rel_type = 'SUPERSEDES' WHERE ch.hops < 10)")
+@q("SELECT start, spot AS node, min(hops) AS depth FROM ch GROUP BY 1, 2", more="ch AS (SELECT concept_id AS start, concept_id AS spot, 0 AS hops FROM concepts UNION ALL SELECT ch.start, e.dst, ch.hops + 1 FROM ch JOIN edges e ON e.src = ch.spot AND e.rel_type = 'SUPERSEDES' WHERE ch.hops < 10)")
 def supersession_chain(spark, sf):
-    starts = model.concepts(spark, sf).where("concept_id % 4 = 3").select(F.col("concept_id").alias("start"))
+    starts = model.concepts(spark, sf).select(F.col("concept_id").alias("start"))
     return graph.chain(model.edges(spark, sf), starts, "SUPERSEDES", 10)
 
 
@@ -138,10 +138,9 @@ def degree_counts(spark, sf):
     return graph.degrees(model.concepts(spark, sf), model.edges(spark, sf), "concept_id")
 
 
-@q("SELECT concept_id, name FROM concepts WHERE concept_id NOT IN (SELECT src FROM edges WHERE rel_type = 'DEPENDS_ON') AND concept_id NOT IN (SELECT dst FROM edges WHERE rel_type = 'DEPENDS_ON')")
+@q("SELECT concept_id, name FROM concepts WHERE concept_id NOT IN (SELECT src FROM edges) AND concept_id NOT IN (SELECT dst FROM edges)")
 def orphans_any(spark, sf):
-    e = model.edges(spark, sf).where("rel_type = 'DEPENDS_ON'")
-    return graph.orphans(model.concepts(spark, sf), e, "concept_id").select("concept_id", "name")
+    return graph.orphans(model.concepts(spark, sf), model.edges(spark, sf), "concept_id").select("concept_id", "name")
 
 
 @q("SELECT c.concept_id, c.name, (SELECT count(*) FROM edges e WHERE e.src = c.concept_id) AS out_degree FROM concepts c WHERE c.concept_id NOT IN (SELECT dst FROM edges) AND c.invalid_at IS NULL")
@@ -193,9 +192,13 @@ def age_stale(spark, sf):
 
 
 _SAME = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+_CLASSES = f"""own AS (SELECT v.vec_id, v.name, v.embedding, CASE WHEN EXISTS (SELECT 1 FROM concepts c WHERE c.concept_id = v.concept_id AND c.namespace = 'global' AND c.expired_at IS NULL) THEN 0 ELSE 1 END AS late FROM vectors v WHERE name IS NOT NULL),
+near AS (SELECT a.vec_id AS x, b.vec_id AS y FROM own a JOIN own b ON a.name = b.name AND a.vec_id <> b.vec_id WHERE {_SAME} >= 0.7),
+reach AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reach r JOIN near n ON n.x = r.y),
+classed AS (SELECT o.vec_id, o.name, (SELECT min(struct_pack(late := k.late, id := k.vec_id)) FROM own k WHERE k.vec_id = o.vec_id OR k.vec_id IN (SELECT y FROM reach WHERE x = o.vec_id)).id AS stands, (SELECT min(struct_pack(late := k.late, id := k.vec_id)) FROM own k WHERE k.name = o.name).id AS leads, (SELECT count(*) FROM near WHERE x = o.vec_id) AS links FROM own o)"""
 
 
-@q(f"SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, {_SAME} AS similarity, CASE WHEN {_SAME} >= 0.7 THEN 'merge' ELSE 'hold' END AS decision FROM vectors a JOIN vectors b ON a.name = b.name AND a.vec_id < b.vec_id WHERE a.vec_id IN (SELECT min(vec_id) FROM vectors GROUP BY name)")
+@q(f"SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, {_SAME} AS similarity, CASE WHEN k.stands <> k.vec_id THEN 'merge' ELSE 'hold' END AS decision, k.links FROM classed k JOIN own b ON b.vec_id = k.vec_id JOIN own a ON a.vec_id = CASE WHEN k.stands <> k.vec_id THEN k.stands ELSE k.leads END WHERE a.vec_id <> b.vec_id", more=_CLASSES)
 def dedupe_merge_hold(spark, sf):
     preferred = model.concepts(spark, sf).where("namespace = 'global' and expired_at is null")
     return audit.same_name_pairs(model.vectors(spark, sf), 0.7, preferred)
@@ -221,11 +224,11 @@ def concept_periods(spark, sf):
 
 
 # -- writes --------------------------------------------------------------------------------
-@q("SELECT coalesce(a.name, b.name) AS name, coalesce(a.namespace, b.namespace) AS namespace, coalesce(nullif(b.description, ''), a.description) AS description, coalesce(nullif(b.source, ''), a.source) AS source FROM concepts a FULL JOIN n b ON a.name = b.name AND a.namespace = b.namespace", more="n AS (SELECT CASE WHEN concept_id % 5 = 0 THEN 'new-' || name ELSE name END AS name, namespace, CASE WHEN concept_id % 2 = 0 THEN '' ELSE 'rewritten' END AS description, CAST(NULL AS VARCHAR) AS source FROM concepts WHERE concept_id % 3 = 0)")
+@q("SELECT coalesce(a.name, b.name) AS name, coalesce(a.namespace, b.namespace) AS namespace, coalesce(nullif(b.description, ''), a.description) AS description, coalesce(nullif(b.source, ''), a.source) AS source, a.concept_id, CAST(epoch(a.invalid_at) AS BIGINT) AS invalid_at, CAST(epoch(a.expired_at) AS BIGINT) AS expired_at FROM concepts a FULL JOIN n b ON a.name = b.name AND a.namespace = b.namespace", more="n AS (SELECT CASE WHEN concept_id % 5 = 0 THEN 'new-' || name ELSE name END AS name, namespace, CASE WHEN concept_id % 2 = 0 THEN '' ELSE 'rewritten' END AS description, CAST(NULL AS VARCHAR) AS source FROM concepts WHERE concept_id % 3 = 0)")
 def upsert_concepts(spark, sf):
     c = model.concepts(spark, sf)
     new = c.where("concept_id % 3 = 0").selectExpr("if(concept_id % 5 = 0, concat('new-', name), name) AS name", "namespace", "if(concept_id % 2 = 0, '', 'rewritten') AS description", "cast(null as string) AS source", "valid_at")
-    return graph.upsert(c, new, ["name", "namespace"], ["description", "source"], ["valid_at"]).drop("valid_at")
+    return graph.upsert(c, new, ["name", "namespace"], ["description", "source"], ["valid_at"]).select("name", "namespace", "description", "source", "concept_id", _secs("invalid_at"), _secs("expired_at"))
 
 
 @q(f"SELECT concept_id, CAST(epoch(CASE WHEN expired_at IS NULL AND concept_id IN (SELECT dst FROM edges WHERE rel_type = 'SUPERSEDES') THEN TIMESTAMPTZ '{AT}' ELSE expired_at END) AS BIGINT) AS expired_at FROM concepts")
@@ -260,7 +263,7 @@ def delete_cascade(spark, sf):
     return writes.delete_cascade(m, [quotes], "meeting_id", m.where("meeting_id % 10 = 0"))[1].select("quote_id", "meeting_id")
 
 
-@q(f"SELECT concept_id, CAST(epoch(CASE WHEN concept_id % 9 = 1 AND expired_at IS NULL THEN TIMESTAMPTZ '{AT}' ELSE expired_at END) AS BIGINT) AS expired_at, CASE WHEN concept_id % 9 = 1 THEN concept_id - 1 END AS merged_into FROM concepts")
+@q(f"SELECT concept_id, CAST(epoch(CASE WHEN concept_id % 9 = 1 AND expired_at IS NULL THEN TIMESTAMPTZ '{AT}' ELSE expired_at END) AS BIGINT) AS expired_at, CASE WHEN concept_id % 9 = 1 AND expired_at IS NULL THEN concept_id - 1 END AS merged_into FROM concepts")
 def dedupe_apply(spark, sf):
     c = model.concepts(spark, sf)
     merges = c.where("concept_id % 9 = 1").select(F.col("concept_id").alias("duplicate"), (F.col("concept_id") - 1).alias("canonical"))
@@ -295,7 +298,7 @@ def raw_query(spark, sf):
     return spark.sql("SELECT n_name, count(*) AS n FROM raw_customer JOIN raw_nation ON c_nationkey = n_nationkey JOIN raw_region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1")
 
 
-@q("SELECT concept_id, url, CASE WHEN contains(url, 'docs.google.com/document') THEN 'gdoc' WHEN contains(url, 'docs.google.com/spreadsheets') THEN 'gsheet' WHEN regexp_matches(url, '\\.(md|txt|json|csv)$') OR contains(url, 'raw.githubusercontent.com') THEN 'raw' ELSE 'url' END AS kind FROM concepts WHERE url IS NOT NULL")
+@q("SELECT concept_id, url, CASE WHEN contains(url, 'docs.google.com/document') THEN 'gdoc' WHEN contains(url, 'docs.google.com/spreadsheets') THEN 'gsheet' WHEN regexp_matches(url, '\\.(md|txt)$') OR contains(url, 'raw.githubusercontent.com') THEN 'raw' ELSE 'url' END AS kind FROM concepts WHERE url IS NOT NULL")
 def url_kinds(spark, sf):
     return model.concepts(spark, sf).where("url is not null").select("concept_id", "url", scalars.url_kind(F.col("url")).alias("kind"))
 

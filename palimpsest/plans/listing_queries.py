@@ -49,7 +49,7 @@ def last_lines(spark, sf):
     return model.table(spark, sf, "session_lines").where("line_type = 'summary'").orderBy(F.desc("row_id")).limit(20).select("line_type", "row_id", "session_id")
 
 
-@q("SELECT DISTINCT a.concept_id, b.name AS suggestion FROM concepts a JOIN (SELECT src, dst FROM edges WHERE rel_type IN ('USES', 'PART_OF') UNION SELECT dst, src FROM edges WHERE rel_type IN ('USES', 'PART_OF')) e ON e.src = a.concept_id JOIN concepts b ON b.concept_id = e.dst WHERE a.concept_id % 25 = 0")
+@q("SELECT DISTINCT a.concept_id, b.name AS suggestion FROM concepts a JOIN (SELECT src, dst FROM edges WHERE rel_type IN ('USES', 'PART_OF') UNION SELECT dst, src FROM edges WHERE rel_type IN ('USES', 'PART_OF')) e ON e.src = a.concept_id JOIN concepts b ON b.concept_id = e.dst")
 def neighbour_suggestions(spark, sf):
     e = graph.undirected(graph.one_hop(model.edges(spark, sf), ["USES", "PART_OF"]))
     c = model.concepts(spark, sf).select(F.col("concept_id").alias("dst"), F.col("name").alias("suggestion"))
@@ -106,14 +106,6 @@ def dedupe_undo(spark, sf):
     return writes.undo_merges(writes.apply_merges(c, merges, _at(), "run-1"), "run-1").select("concept_id", F.unix_seconds("expired_at").alias("expired_at"))
 
 
-@q("SELECT patch_id, content, CAST(epoch(CASE WHEN patch_id % 4 = 0 THEN TIMESTAMPTZ '" + NOW + "' ELSE valid_at END) AS BIGINT) AS valid_at, CAST(epoch(CASE WHEN patch_id % 4 = 0 THEN NULL ELSE invalid_at END) AS BIGINT) AS invalid_at FROM patches")
-def patch_upsert(spark, sf):
-    """Adding a patch again resets its start and clears its end."""
-    hit = F.col("patch_id") % 4 == 0
-    p = model.patches(spark, sf)
-    return p.select("patch_id", "content", F.unix_seconds(F.when(hit, _at(NOW)).otherwise(F.col("valid_at"))).alias("valid_at"), F.unix_seconds(F.when(~hit, F.col("invalid_at"))).alias("invalid_at"))
-
-
 # -- readers and formats --------------------------------------------------------------------------
 @q("SELECT url, concept_id FROM (SELECT url, concept_id, row_number() OVER (PARTITION BY url ORDER BY updated_at DESC, concept_id) AS rn FROM concepts WHERE url IS NOT NULL AND updated_at >= TIMESTAMPTZ '" + NOW + "' - INTERVAL 700 DAY) WHERE rn = 1")
 def fresh_cache(spark, sf):

@@ -1,7 +1,7 @@
 """All queries of the core, and their DuckDB equivalents."""
 
-from . import graph_queries, listing_queries, search_queries, training, transcript_queries
+from . import graph_queries, listing_queries, search_queries, training, transcript_queries, write_queries
 
-_PARTS = (training, graph_queries, listing_queries, search_queries, transcript_queries)
+_PARTS = (training, graph_queries, listing_queries, search_queries, transcript_queries, write_queries)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLES = {k: s for p in _PARTS for k, s in p.ORACLES.items()}

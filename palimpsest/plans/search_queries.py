@@ -95,15 +95,25 @@ def knn_search(spark, sf):
     return _near(spark, sf, 8)
 
 
-@q("SELECT query_id AS src, 'RELATED_TO' AS rel_type, other_id AS dst, round((1 + similarity) / 2, 6) AS score, 'run-1' AS run FROM ranked WHERE rank <= 2 AND (1 + similarity) / 2 >= 0.82 AND query_id % 100 = 0", more=_BLOCK)
+_ENRICH = """live AS (SELECT concept_id, name, namespace FROM concepts WHERE invalid_at IS NULL AND expired_at IS NULL),
+lone AS (SELECT * FROM live WHERE concept_id NOT IN (SELECT src FROM edges) AND concept_id NOT IN (SELECT dst FROM edges)),
+close AS (SELECT a.concept_id AS src, a.namespace = b.namespace AS same, b.concept_id AS dst, max(round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6)) AS similarity
+  FROM lone a JOIN vectors x ON x.concept_id = a.concept_id JOIN live b ON b.name <> a.name AND a.namespace IS NOT NULL AND b.namespace IS NOT NULL JOIN vectors y ON y.concept_id = b.concept_id GROUP BY 1, 2, 3 HAVING (1 + similarity) / 2 >= 0.82),
+best AS (SELECT *, bool_or(same) OVER (PARTITION BY src) AS any_same, row_number() OVER (PARTITION BY src, same ORDER BY similarity DESC, dst) AS rank FROM close)"""
+
+
+@q("SELECT src, 'RELATED_TO' AS rel_type, dst, round((1 + similarity) / 2, 6) AS score, 'run-1' AS run FROM best WHERE same = any_same AND rank <= CASE WHEN same THEN 2 ELSE 1 END", more=_ENRICH)
 def knn_enrich(spark, sf):
     return audit.enrich(model.concepts(spark, sf), model.edges(spark, sf), model.vectors(spark, sf), 2, 0.82, "run-1")
 
 
-_JACCARD = ", types AS (SELECT src, list_distinct(list(rel_type)) AS t FROM edges GROUP BY 1), pairs AS (SELECT p.*, coalesce(x.t, []) AS ta, coalesce(y.t, []) AS tb FROM (SELECT DISTINCT va.concept_id AS a, vb.concept_id AS b, max(similarity) OVER (PARTITION BY va.concept_id, vb.concept_id) AS similarity FROM ranked r JOIN vectors va ON va.vec_id = r.query_id JOIN vectors vb ON vb.vec_id = r.other_id WHERE rank <= 8 AND similarity > 0.9 AND va.concept_id <> vb.concept_id) p LEFT JOIN types x ON x.src = p.a LEFT JOIN types y ON y.src = p.b)"
+_JACCARD = """types AS (SELECT src, list_distinct(list(rel_type)) AS t FROM edges GROUP BY 1),
+close AS (SELECT x.concept_id AS a, y.concept_id AS b, max(round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6)) AS similarity FROM vectors x JOIN vectors y ON x.concept_id <> y.concept_id GROUP BY 1, 2 HAVING similarity > 0.9),
+typed AS (SELECT a, b, similarity, coalesce(x.t, []) AS ta, coalesce(y.t, []) AS tb FROM close LEFT JOIN types x ON x.src = a LEFT JOIN types y ON y.src = b),
+pairs AS (SELECT *, CASE WHEN len(list_distinct(list_concat(ta, tb))) = 0 THEN 1.0 ELSE len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb))) END AS jaccard FROM typed)"""
 
 
-@q("SELECT a, b, similarity, round(CASE WHEN len(list_distinct(list_concat(ta, tb))) = 0 THEN 1.0 ELSE CAST(len(list_intersect(ta, tb)) AS DOUBLE) / len(list_distinct(list_concat(ta, tb))) END, 6) AS jaccard FROM pairs WHERE CASE WHEN len(list_distinct(list_concat(ta, tb))) = 0 THEN 1.0 ELSE CAST(len(list_intersect(ta, tb)) AS DOUBLE) / len(list_distinct(list_concat(ta, tb))) END >= 0.3", more=_BLOCK + _JACCARD)
+@q("SELECT a, b, similarity, round(jaccard, 6) AS jaccard FROM pairs WHERE jaccard >= 0.3", more=_JACCARD)
 def similar_pairs_jaccard(spark, sf):
     v = model.vectors(spark, sf)
     near = search.similar_pairs(v, 0.9)
@@ -234,12 +244,12 @@ def html_text(spark, sf):
     return model.table(spark, sf, "documents").select("doc_id", scalars.html_text(F.col("text")).alias("text"))
 
 
-@q("SELECT meeting_id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM meetings WHERE length(title) <= 50", plain=True)
+@q("SELECT meeting_id, regexp_replace(regexp_replace(regexp_replace(lower(title || ' ' || title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:20], '-+$', '') AS slug FROM meetings", plain=True)
 def slugs(spark, sf):
-    return model.table(spark, sf, "meetings").where("length(title) <= 50").select("meeting_id", scalars.slug(F.col("title")).alias("slug"))
+    return model.table(spark, sf, "meetings").select("meeting_id", scalars.slug(F.concat_ws(" ", "title", "title"), 20).alias("slug"))
 
 
-@q("SELECT quote_id, CASE WHEN length(text) <= 60 THEN text ELSE coalesce(nullif(regexp_extract(text[1:60], '(?s)^(.*\\.)\\s', 1), ''), nullif(regexp_extract(text[1:60], '(?s)^(.*)\\n', 1), ''), text[1:60]) END AS text FROM quotes", plain=True)
+@q("SELECT quote_id, CASE WHEN length(text) <= 60 THEN text ELSE coalesce(nullif(regexp_extract(text[1:60], '(?s)^(.*\\.) ', 1), ''), nullif(regexp_extract(text[1:60], '(?s)^(.*)\\n', 1), ''), text[1:60]) END AS text FROM quotes", plain=True)
 def truncated(spark, sf):
     return model.table(spark, sf, "quotes").select("quote_id", scalars.truncate_sentence(F.col("text"), 60).alias("text"))
 
