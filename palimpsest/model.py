@@ -68,6 +68,19 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.where((F.size("embedding") == 64) & ~bad & F.exists("embedding", lambda x: x != 0))
 
 
+_built: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def fulltext(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The full-text index of documents or concepts: built at its first use in a session, then read."""
+    key = spark.sparkContext.applicationId, sf, name
+    if key not in _built:
+        from .operators.search import build_index
+
+        _built[key] = build_index(table(spark, sf, "documents"), "doc_id", ["text"]) if name == "documents" else build_index(concepts(spark, sf), "concept_id", ["name", "description"])
+    return _built[key]
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """One row per distinct turn of the transcripts (its smallest row holds)."""
     lines = table(spark, sf, "session_lines").where("uuid <> ''")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import temporal
-from ..operators import graph, sessions, writes
+from ..operators import graph, search, sessions, writes
 from ..sources import readers
 from ._register import Registry
 from .graph_queries import AT, NOW
@@ -56,11 +56,19 @@ def neighbour_suggestions(spark, sf):
     return e.join(c, "dst").select(F.col("src").alias("concept_id"), "suggestion").distinct()
 
 
-@q("SELECT t.topic_id, bool_or(r.canon_id IS NOT NULL) AS known FROM topics t LEFT JOIN topic_reference r ON r.normalized_name = t.normalized_name GROUP BY 1", plain=True)
+@q("SELECT t.topic_id, bool_or(coalesce(contains(lower(t.normalized_name), r.normalized_name) OR contains(r.normalized_name, lower(nullif(t.normalized_name, ''))), false)) AS known FROM topics t, topic_reference r GROUP BY 1", plain=True)
 def known_split(spark, sf):
-    r = model.table(spark, sf, "topic_reference").select("normalized_name", F.lit(True).alias("hit")).distinct()
-    t = model.table(spark, sf, "topics").select("topic_id", "normalized_name").join(r, "normalized_name", "left")
-    return t.groupBy("topic_id").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("known"))
+    """Topics whose name contains that of an entry or is contained in one."""
+    t = model.table(spark, sf, "topics").select("topic_id", F.lower("normalized_name").alias("name"))
+    r = model.table(spark, sf, "topic_reference").select(F.col("canon_id").cast("bigint").alias("pattern_id"), F.col("normalized_name").alias("pattern"))
+    over = search.contained(t.select(F.col("topic_id").alias("text_id"), F.col("name").alias("text")), r).select(F.col("text_id").alias("topic_id"))
+    # the other way round: all stretches of the entries' names, whose number is that of the entries times a name's length squared
+    n = F.length("pattern")
+    parts = r.select(F.explode(F.sequence(F.lit(1), n)).alias("at"), "pattern", n.alias("n")).select("pattern", "at", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("at") + 1)).alias("long"))
+    parts = parts.select(F.substring(F.col("pattern"), F.col("at"), F.col("long")).alias("name")).distinct()
+    under = t.join(parts, "name", "left_semi").select("topic_id")
+    known = over.unionByName(under).distinct().withColumn("known", F.lit(True))
+    return t.select("topic_id").distinct().join(known, "topic_id", "left").select("topic_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @q("SELECT c.concept_id, count(p.patch_id) FILTER (p.content IS NULL) AS empty_patches FROM concepts c LEFT JOIN patches p ON p.concept_id = c.concept_id GROUP BY 1")
@@ -109,9 +117,8 @@ def dedupe_undo(spark, sf):
 # -- readers and formats --------------------------------------------------------------------------
 @q("SELECT url, concept_id FROM (SELECT url, concept_id, row_number() OVER (PARTITION BY url ORDER BY updated_at DESC, concept_id) AS rn FROM concepts WHERE url IS NOT NULL AND updated_at >= TIMESTAMPTZ '" + NOW + "' - INTERVAL 700 DAY) WHERE rn = 1")
 def fresh_cache(spark, sf):
-    c = model.concepts(spark, sf).where("url is not null")
-    best = c.where(F.unix_seconds(_at(NOW)) - F.unix_seconds("updated_at") <= 700 * 86400).groupBy("url").agg(F.min(F.struct((-F.unix_micros("updated_at")).alias("t"), "concept_id")).alias("v"))
-    return best.select("url", "v.concept_id")
+    c = model.concepts(spark, sf).where("url is not null").select("url", "concept_id", F.col("updated_at").alias("fetched_at"))
+    return readers.fresh(c, _at(NOW), 700 * 86400, "concept_id").select("url", "concept_id")
 
 
 @q("SELECT meeting_id, '| ' || rpad(title, greatest(5, max(length(title)) OVER ())::INTEGER, ' ') || ' | ' || rpad(coalesce(meeting_date, ''), greatest(12, max(length(meeting_date)) OVER ())::INTEGER, ' ') || ' |' AS line FROM meetings", plain=True)

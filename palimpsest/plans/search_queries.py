@@ -51,9 +51,16 @@ def _concept_text(spark, sf):
 _TEXT = _bm25_sql("concepts", "concept_id", {"name": 3.0, "description": 1.0}, WORDS)
 
 
+@q(rf"SELECT 'text' AS field, count(*) AS docs, sum(n)::BIGINT AS words FROM (SELECT len(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS n FROM documents) WHERE n > 0", plain=True)
+def fulltext_build(spark, sf):
+    """The index of all documents, built once in a session; its statistics are shown."""
+    return model.fulltext(spark, sf, "documents")[1]
+
+
 @q("SELECT doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM scored) WHERE rn <= 20", more=_bm25_sql("documents", "doc_id", {"text": 1.0}, ("gradient",)))
 def bm25_topk(spark, sf):
-    d = search.bm25(model.table(spark, sf, "documents").select("doc_id", "text"), {"text": 1.0}, "gradient").withColumn("score", F.round("score", 6))
+    found = search.search_index(*model.fulltext(spark, sf, "documents"), "gradient", {"text": 1.0})
+    d = found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
     return search.top(d, 20, F.desc("score"), F.col("doc_id")).select("doc_id", "score")
 
 
@@ -62,6 +69,22 @@ def bm25_multi_field(spark, sf):
     return _concept_text(spark, sf).select("concept_id", F.round("score", 6).alias("score"))
 
 
+@q("SELECT concept_id, round(score, 6) AS score FROM scored", more=_TEXT)
+def bm25_index(spark, sf):
+    """As bm25_multi_field, by the index of concepts."""
+    found = search.search_index(*model.fulltext(spark, sf, "concepts"), ASKED, {"name": 3.0, "description": 1.0})
+    return found.select(F.col("key").alias("concept_id"), F.round("score", 6).alias("score"))
+
+
+_FUZZY = rf"w AS (SELECT concept_id, regexp_extract_all(lower(coalesce(name, '')), '{TOKEN_SQL}') AS t FROM concepts), p AS (SELECT concept_id, term, len(any_value(t)) AS n, count(*) AS tf FROM (SELECT concept_id, t, unnest(t) AS term FROM w) GROUP BY 1, 2), s AS (SELECT count(*)::DOUBLE AS docs, avg(len(t)) AS average FROM w WHERE len(t) > 0), near AS (SELECT *, CASE WHEN term = 'handlr' THEN 3.0::DOUBLE ELSE 0.5::DOUBLE END AS weight, count(*) OVER (PARTITION BY term) AS df FROM p WHERE levenshtein(term, 'handlr') <= 2)"
+
+
+@q("SELECT concept_id, round(sum(weight * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / average))), 6) AS score FROM near, s GROUP BY 1", more=_FUZZY)
+def bm25_fuzzy(spark, sf):
+    found = search.search_index(*model.fulltext(spark, sf, "concepts"), "handlr", {"name": 3.0}, fuzzy="name")
+    return found.select(F.col("key").alias("concept_id"), F.round("score", 6).alias("score"))
+
+
 @q(f"SELECT concept_id, name, rank FROM (SELECT s.concept_id, c.name, c.namespace, c.invalid_at, c.expired_at, row_number() OVER (ORDER BY round(score, 6) DESC, s.concept_id) AS rank FROM scored s JOIN concepts c ON c.concept_id = s.concept_id) WHERE rank <= 20 AND namespace IN ('global', 'billing-core') AND (invalid_at IS NULL OR invalid_at > TIMESTAMPTZ '{AT}') AND (expired_at IS NULL OR expired_at > TIMESTAMPTZ '{AT}')", more=_TEXT)
 def bm25_postfilter(spark, sf):
     at = F.lit(AT).cast("timestamp")
@@ -69,17 +92,19 @@ def bm25_postfilter(spark, sf):
     return best.where(temporal.in_namespaces(["global", "billing-core"]) & temporal.not_ended(at)).select("concept_id", "name", "rank")
 
 
-@q("SELECT vec_id, name, similarity, round((1 + similarity) / 2, 6) AS score, rank FROM knn WHERE rank <= 20 AND namespace IN ('global', 'atlas') AND (1 + similarity) / 2 >= 0.3", more=_KNN)
+@q("SELECT vec_id, name, similarity, round((1 + similarity) / 2, 6) AS score, rank FROM knn LEFT JOIN (SELECT concept_id AS id, invalid_at, expired_at FROM concepts) c ON c.id = knn.concept_id WHERE rank <= 20 AND namespace IN ('global', 'atlas') AND (1 + similarity) / 2 >= 0.3 AND (invalid_at IS NULL OR invalid_at > TIMESTAMPTZ '" + AT + "') AND (expired_at IS NULL OR expired_at > TIMESTAMPTZ '" + AT + "')", more=_KNN)
 def vector_topk_postfilter(spark, sf):
     best = search.nearest(model.vectors(spark, sf), _query_vector(spark, sf), 20)
-    return best.where(temporal.in_namespaces(["global", "atlas"]) & (F.col("score") >= 0.3)).select("vec_id", "name", "similarity", F.round("score", 6).alias("score"), "rank")
+    best = best.join(model.concepts(spark, sf).select("concept_id", "invalid_at", "expired_at"), "concept_id", "left")
+    live = temporal.not_ended(F.lit(AT).cast("timestamp"))
+    return best.where(temporal.in_namespaces(["global", "atlas"]) & (F.col("score") >= 0.3) & live).select("vec_id", "name", "similarity", F.round("score", 6).alias("score"), "rank")
 
 
-@q(f"SELECT k.vec_id, k.similarity, k.rank FROM knn k JOIN concepts c ON c.concept_id = k.concept_id WHERE rank <= 10 AND valid_at <= TIMESTAMPTZ '{AT}' AND (invalid_at IS NULL OR invalid_at > TIMESTAMPTZ '{AT}') AND (expired_at IS NULL OR expired_at > TIMESTAMPTZ '{AT}')", more=_KNN)
+@q(f"SELECT k.vec_id, k.similarity, k.rank FROM knn k JOIN concepts c ON c.concept_id = k.concept_id WHERE rank <= 10 AND c.namespace <> 'intake' AND similarity >= 0.1 AND valid_at <= TIMESTAMPTZ '{AT}' AND (invalid_at IS NULL OR invalid_at > TIMESTAMPTZ '{AT}') AND (expired_at IS NULL OR expired_at > TIMESTAMPTZ '{AT}')", more=_KNN)
 def vector_topk_temporal(spark, sf):
     best = search.nearest(model.vectors(spark, sf), _query_vector(spark, sf), 10)
-    live = model.concepts(spark, sf).where(temporal.in_force(F.lit(AT).cast("timestamp"))).select("concept_id")
-    return best.join(live, "concept_id", "left_semi").select("vec_id", "similarity", "rank")
+    live = model.concepts(spark, sf).where(temporal.in_force(F.lit(AT).cast("timestamp")) & (F.col("namespace") != "intake")).select("concept_id")
+    return best.where("similarity >= 0.1").join(live, "concept_id", "left_semi").select("vec_id", "similarity", "rank")
 
 
 _BLOCK = "near AS (SELECT a.vec_id AS query_id, b.vec_id AS other_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, other_id) AS rank FROM near)"
@@ -159,11 +184,15 @@ def rrf_temporal_compat(spark, sf):
     return search.fuse(kw, vec.withColumn("namespace", F.lit("")), ASKED).withColumn("similarity", F.round("similarity", 6))
 
 
-@q("SELECT coalesce(kw.name, vc.name) AS name, round(CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN (1.0::DOUBLE / ra + 1.0::DOUBLE / rb) / 2 WHEN ra IS NOT NULL THEN 1.0::DOUBLE / ra ELSE 0.8::DOUBLE / rb END, 6) AS score FROM kw FULL JOIN vc ON kw.name = vc.name", more=_LISTS)
+_SCORES = _TEXT + ", " + _KNN + ", ft AS (SELECT concept_id, round(score, 6) AS ft FROM scored ORDER BY round(score, 6) DESC, concept_id LIMIT 20), vs AS (SELECT concept_id, max((1 + similarity) / 2) AS vec FROM knn WHERE rank <= 20 AND concept_id IS NOT NULL GROUP BY 1)"
+
+
+@q("SELECT coalesce(ft.concept_id, vs.concept_id) AS concept_id, round(CASE WHEN ft IS NOT NULL AND vec IS NOT NULL THEN (ft + vec) / 2 ELSE coalesce(ft, vec * 0.8::DOUBLE) END, 6) AS score FROM ft FULL JOIN vs ON ft.concept_id = vs.concept_id", more=_SCORES)
 def avg_fusion(spark, sf):
-    kw, vec = _lists(spark, sf)
-    s = lambda d: d.select("name", (1.0 / F.col("rank")).alias("score"))
-    return search.average(s(kw), s(vec), "name").withColumn("score", F.round("score", 6))
+    """The mean of full-text and vector score; a vector hit alone counts 0.8."""
+    text = search.top(_concept_text(spark, sf).withColumn("score", F.round("score", 6)), 20, F.desc("score"), F.col("concept_id"))
+    near = search.nearest(model.vectors(spark, sf), _query_vector(spark, sf), 20).where("concept_id is not null").groupBy("concept_id").agg(F.max("score").alias("score"))
+    return search.average(text.select("concept_id", "score"), near, "concept_id").withColumn("score", F.round("score", 6))
 
 
 @q("SELECT name, min(tier) AS tier FROM (SELECT name, 0 AS tier FROM concepts WHERE contains(lower(name), 'handler') UNION ALL SELECT name, 1 FROM kw UNION ALL SELECT name, 2 FROM vc) GROUP BY 1", more=_LISTS)
@@ -185,20 +214,16 @@ def rerank_cosine(spark, sf):
 # -- triggers -------------------------------------------------------------------------------
 @q("SELECT t.topic_id, arg_min(r.canon_id, r.canon_id) AS canon_id FROM topics t JOIN topic_reference r ON contains(lower(t.name), r.normalized_name) GROUP BY 1", plain=True)
 def trigger_first(spark, sf):
-    t = model.table(spark, sf, "topics").select("topic_id", F.lower("name").alias("said")).where("said is not null")
-    r = model.table(spark, sf, "topic_reference").select("canon_id", "normalized_name")
-    # every stretch of as many letters as a pattern has is looked up, so that no pair of a text and a pattern is formed
-    sizes = [x.n for x in r.select(F.length("normalized_name").alias("n")).where("n is not null").distinct().collect()]  # one per pattern length
-    grams = t.select("topic_id", "said", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where("n <= length(said)")
-    grams = grams.select("topic_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("said") - F.col("n") + 1), lambda i: F.substring(F.col("said"), i, F.col("n")))).alias("normalized_name"))
-    return grams.join(r, "normalized_name").groupBy("topic_id").agg(F.min("canon_id").alias("canon_id"))
+    t = model.table(spark, sf, "topics").select(F.col("topic_id").alias("text_id"), F.lower("name").alias("text"))
+    r = model.table(spark, sf, "topic_reference").select(F.col("canon_id").cast("bigint").alias("pattern_id"), F.col("normalized_name").alias("pattern"))
+    return search.contained(t, r).groupBy(F.col("text_id").alias("topic_id")).agg(F.min("pattern_id").cast("int").alias("canon_id"))
 
 
-@q("SELECT vec_id, name, similarity FROM knn WHERE rank <= 10 AND (1 + similarity) / 2 >= CASE WHEN vec_id % 2 = 0 THEN 0.6 ELSE 0.75 END", more=_KNN)
+@q("SELECT vec_id, name, similarity FROM knn WHERE rank <= 10 AND (1 + similarity) / 2 >= 0.3 AND (1 + similarity) / 2 >= CASE WHEN vec_id % 2 = 0 THEN 0.6 ELSE 0.75 END", more=_KNN)
 def trigger_threshold(spark, sf):
     best = search.nearest(model.vectors(spark, sf), _query_vector(spark, sf), 10)
     own = F.when(F.col("vec_id") % 2 == 0, 0.6)
-    return best.where(F.col("score") >= F.coalesce(own, F.lit(0.75))).select("vec_id", "name", "similarity")
+    return best.where((F.col("score") >= 0.3) & (F.col("score") >= F.coalesce(own, F.lit(0.75)))).select("vec_id", "name", "similarity")
 
 
 # -- metrics -----------------------------------------------------------------------------------

@@ -135,6 +135,14 @@ def patch_contents(spark, sf):
     return writes.set_columns(p, new, "patch_id", ["content"]).select("patch_id", "content")
 
 
+def mentioned(spark, sf):
+    """Edges from sessions to the concepts that the last two words of their summaries name."""
+    words = F.split(F.lower("summary"), " ")
+    said = model.table(spark, sf, "session_lines").where("summary <> ''").select("session_id", F.array_join(F.when(F.size(words) > 2, F.slice(words, -2, 2)).otherwise(words), "-").alias("word")).distinct()
+    c = model.concepts(spark, sf).select(F.regexp_replace(F.lower("name"), "-[0-9]+$", "").alias("word"), "concept_id")
+    return said.join(c, "word").select(F.col("session_id").alias("src"), F.lit("MENTIONED_IN").alias("rel_type"), F.col("concept_id").alias("dst")).distinct()
+
+
 # -- transcripts ------------------------------------------------------------------------------
 @q("SELECT session_id, min(ingested_at) AS first_seen, max(ingested_at) AS last_seen FROM session_lines GROUP BY 1", plain=True)
 def session_upsert(spark, sf):
@@ -185,12 +193,9 @@ def session_aggregates(spark, sf):
     return writes.set_columns(s, totals, "session_id", ["n_turns", "input_tokens"])
 
 
-@q("SELECT DISTINCT s.session_id AS src, 'MENTIONED_IN' AS rel_type, c.concept_id AS dst FROM (SELECT session_id, unnest(regexp_extract_all(lower(coalesce(summary, '')), '[a-z0-9-]+')) AS word FROM session_lines) s JOIN concepts c ON lower(c.name) = s.word")
+@q("SELECT DISTINCT s.session_id AS src, 'MENTIONED_IN' AS rel_type, c.concept_id AS dst FROM (SELECT session_id, array_to_string(string_split(lower(summary), ' ')[-2:], '-') AS word FROM session_lines WHERE summary <> '') s JOIN concepts c ON regexp_replace(lower(c.name), '-[0-9]+$', '') = s.word")
 def mention_edges(spark, sf):
-    """Sessions linked to the concepts that their summaries name."""
-    said = model.table(spark, sf, "session_lines").select("session_id", F.explode(F.regexp_extract_all(F.lower("summary"), F.lit("[a-z0-9-]+"), F.lit(0))).alias("word")).distinct()
-    c = model.concepts(spark, sf).select(F.lower("name").alias("word"), "concept_id")
-    return said.join(c, "word").select(F.col("session_id").alias("src"), F.lit("MENTIONED_IN").alias("rel_type"), F.col("concept_id").alias("dst")).distinct()
+    return mentioned(spark, sf)
 
 
 @q("SELECT session_id AS path, max(CAST(epoch(ingested_at) AS BIGINT)) AS mtime FROM session_lines GROUP BY 1", plain=True)

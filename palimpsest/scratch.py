@@ -74,11 +74,11 @@ class Scratch:
         self.count = 0
         _written.append((spark, self.path))
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return the written table; its plan no longer depends on ``df``."""
+    def save(self, df: DataFrame, *by: str) -> DataFrame:
+        """Write ``df`` (in folders by some columns) and return the written table; its plan no longer depends on ``df``."""
         self.count += 1
         path = f"{self.path}/{self.count}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

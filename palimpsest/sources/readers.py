@@ -38,9 +38,9 @@ def meeting_text(raw: Column) -> Column:
     return F.coalesce(F.nullif(said, F.lit("")), F.when(raw.startswith("["), F.nullif(F.array_join(plain, "\n\n"), F.lit(""))), raw)
 
 
-def fresh(cache: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+def fresh(cache: DataFrame, now: Column, seconds: int = 300, *tie: str) -> DataFrame:
     """The latest cached fetch of each url, if it is no older than ``seconds``; 0 bypasses the cache."""
-    latest = Window.partitionBy("url").orderBy(F.desc("fetched_at"))
+    latest = Window.partitionBy("url").orderBy(F.desc("fetched_at"), *tie)
     kept = cache.where(F.unix_seconds(now) - F.unix_seconds("fetched_at") <= seconds) if seconds else cache.limit(0)
     return kept.withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn")
 
