@@ -78,3 +78,59 @@ def cosine(a: Column, b: Column) -> Column:
 def index_score(raw: Column) -> Column:
     """The 0..1 scale of vector indexes."""
     return (1 + raw) / 2
+
+
+def truncate_bytes(c: Column, longest: int, mark: str = "") -> Column:
+    """At most ``longest`` bytes, cut at a character's start, then ``mark`` if anything was cut."""
+    raw = F.encode(c, "UTF-8")
+    goes_on = lambda at: F.conv(F.hex(F.substring(raw, at, 1)), 16, 10).cast("int").between(0x80, 0xBF)
+    n = F.coalesce(*[F.when(~F.coalesce(goes_on(longest + 1 - k), F.lit(False)), F.lit(longest - k)) for k in range(4)])
+    return F.when(F.octet_length(c) <= longest, c).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), n), "UTF-8"), F.lit(mark)))
+
+
+def document_id(url: Column) -> Column:
+    """The id in a shared document's address; null where there is none."""
+    return clean(F.regexp_extract(url, "/d/([a-zA-Z0-9_-]+)", 1))
+
+
+def url_key(url: Column) -> Column:
+    """A stable key of an address for file names."""
+    return F.substring(F.md5(url), 1, 16)
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line, blanks around them cut off: quoted ones may hold commas, and quotes written twice."""
+    cell = r'(?:^|,)((?:[^",]|"(?:[^"]|"")*")*)'
+    raw = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
+    quoted = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda x: F.trim(F.when(x.rlike('(?s)^".*"$'), quoted(x)).otherwise(F.replace(x, F.lit('"'), F.lit("")))))
+
+
+def interval_seconds(c: Column) -> Column:
+    """Seconds of 30s, 5m or 1h (a bare number is seconds); null for anything else."""
+    n = F.regexp_extract(F.trim(c), r"^(\d{1,12})([smh]?)$", 1)
+    unit = F.regexp_extract(F.trim(c), r"^(\d{1,12})([smh]?)$", 2)
+    return F.when(n != "", n.try_cast("bigint") * F.when(unit == "h", 3600).when(unit == "m", 60).otherwise(1))
+
+
+def day(c: Column) -> Column:
+    """The date part of a time as text."""
+    return F.substring(c, 1, 10)
+
+
+def snippet(c: Column, longest: int) -> Column:
+    """One line of at most ``longest`` characters, with an ellipsis where it was cut."""
+    line = F.replace(c, F.lit("\n"), F.lit(" "))
+    return F.when(F.length(line) <= longest, line).otherwise(F.concat(F.substring(line, 1, longest), F.lit("...")))
+
+
+def unfenced(c: Column) -> Column:
+    """Text without the fences of a code block around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?:```json|```)+", ""), r"(?:```)+$", ""))
+
+
+def moment_of(c: Column) -> Column:
+    """A point in time from RFC 3339 text or a date (midnight UTC); null where it is neither."""
+    t = F.trim(c)
+    full = t.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$")
+    return F.when(full, t.try_cast("timestamp")).when(t.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(t, F.lit("T00:00:00Z")).try_cast("timestamp"))

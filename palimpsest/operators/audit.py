@@ -129,3 +129,62 @@ def rollback(edges: DataFrame, run: str | None = None) -> DataFrame:
     if run is None:
         run = edges.agg(F.max("run")).first()[0]
     return edges if run is None else edges.where(F.col("run").isNull() | (F.col("run") != run))
+
+
+def older_newer(pairs: DataFrame, concepts: DataFrame, first: int = 20) -> DataFrame:
+    """older, newer, similarity of ``pairs`` (a, b, similarity): by start (a missing one last), name, namespace, id; the ``first`` most similar."""
+    order = lambda p: F.struct(F.col(f"{p}.valid_at").isNull(), f"{p}.valid_at", f"{p}.name", f"{p}.namespace", f"{p}.concept_id")
+    c = concepts.select("concept_id", "name", "namespace", "valid_at")
+    both = pairs.where("a <> b").join(c.alias("x"), F.col("a") == F.col("x.concept_id")).join(c.alias("y"), F.col("b") == F.col("y.concept_id"))
+    swap = order("x") > order("y")
+    out = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("older"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("newer"), "similarity").distinct()
+    return out.orderBy(F.desc("similarity"), "older", "newer").limit(first)
+
+
+def between_live(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges both of whose ends have never ended."""
+    live = concepts.where("invalid_at is null and expired_at is null").select("concept_id")
+    return edges.join(live.withColumnRenamed("concept_id", "src"), "src", "left_semi").join(live.withColumnRenamed("concept_id", "dst"), "dst", "left_semi")
+
+
+def knowledge_orphans(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Live concepts without any edge to another live one."""
+    links = between_live(concepts, edges).where("src <> dst")
+    return orphans(concepts.where("invalid_at is null and expired_at is null"), links, "concept_id")
+
+
+def enrich_effect(concepts: DataFrame, edges: DataFrame, proposed: DataFrame) -> DataFrame:
+    """before, after: knowledge orphans without and with the proposed edges."""
+    more = edges.select("src", "rel_type", "dst").unionByName(proposed.select("src", "rel_type", "dst")).distinct()
+    n = lambda e, c: knowledge_orphans(concepts, e).agg(F.count("*").alias(c))
+    return n(edges, "before").join(n(more, "after"))  # one row each
+
+
+def staleness_report(concepts: DataFrame, patches: DataFrame, edges: DataFrame, pairs: DataFrame, at: Column, days: int, scope: list[str], rows: int = 50) -> DataFrame:
+    """kind (stale, orphan, similar), concept_id, other_id, value: the first ``rows`` of each audit, similar pairs 20, within some namespaces."""
+    c = concepts.where(F.col("namespace").isin(scope))
+    old = stale(c, patches, at, days).orderBy(F.desc("age_days"), "concept_id").limit(rows).select(F.lit("stale").alias("kind"), "concept_id", F.lit(None).cast("bigint").alias("other_id"), F.col("age_days").cast("double").alias("value"))
+    out = edges.groupBy(F.col("src").alias("concept_id")).agg(F.count("*").alias("n"))
+    lone = orphans(c.where("invalid_at is null"), edges.where("src <> dst"), "concept_id", incoming_only=True).join(out, "concept_id", "left").orderBy("name", "concept_id").limit(rows)
+    lone = lone.select(F.lit("orphan").alias("kind"), "concept_id", F.lit(None).cast("bigint").alias("other_id"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    ids = c.select("concept_id")
+    near = pairs.join(ids.withColumnRenamed("concept_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("concept_id", "b"), "b", "left_semi")
+    near = older_newer(near, c).select(F.lit("similar").alias("kind"), F.col("older").alias("concept_id"), F.col("newer").alias("other_id"), "similarity")
+    return old.unionByName(lone).unionByName(near.withColumnRenamed("similarity", "value"))
+
+
+def duplicate_guard(new: DataFrame, vectors: DataFrame, concepts: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """vec_id, concept_id, similarity: of ``new`` vectors those that resemble a live concept (``threshold`` is on the index scale), with the most similar one."""
+    from .search import similar_pairs
+
+    live = concepts.where("invalid_at is null and expired_at is null").select("concept_id")
+    held = vectors.join(live, "concept_id", "left_semi")
+    near = similar_pairs(held, 2 * threshold - 1 - 5e-7, asking=new)
+    to = copies(held).select(F.col("rep").alias("rep_b"), "concept_id").distinct()
+    best = near.join(to, "rep_b").where((1 + F.col("similarity")) / 2 >= threshold).groupBy(F.col("rep_a").alias("vec_id")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "concept_id")).alias("v"))
+    return best.select("vec_id", "v.concept_id", (-F.col("v.s")).alias("similarity"))
+
+
+def broken_references(patches: DataFrame, files: DataFrame) -> DataFrame:
+    """Patches that name a file (path) which isn't in the listing."""
+    return patches.where("path <> ''").join(files.select("path"), "path", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -99,3 +99,14 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], texts: list[str], cre
         else:
             cols.append(F.col(f"a.{c}").alias(c))
     return both.select(*cols)
+
+
+def top_per(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows of each key; what a task ranks of a hot key is cut to ``k`` before the shuffle."""
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
+
+
+def ordered_chain(chains: DataFrame, ends: DataFrame) -> DataFrame:
+    """start, node, depth, place: nodes of chains by their end (node, expired_at), those without one first, then by node."""
+    order = F.coalesce("expired_at", F.lit("9999-12-31T00:00:00Z").cast("timestamp"))
+    return chains.join(ends, "node").withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy(F.desc(order), "node"))).select("start", "node", "depth", "place")

@@ -355,7 +355,7 @@ def picked(reply: Column, n: int) -> Column:
 
 def verdict(reply: Column, word: str = "CORRECT", against: str = "INCORRECT") -> Column:
     """Whether the last line of a reply says the word and not its opposite."""
-    last = F.upper(F.element_at(F.split(F.rtrim(reply), "\n"), -1))
+    last = F.upper(F.element_at(F.split(F.regexp_replace(reply, r"\s+$", ""), "\n"), -1))
     return F.coalesce(F.contains(last, F.lit(word)) & ~F.contains(last, F.lit(against)), F.lit(False))
 
 

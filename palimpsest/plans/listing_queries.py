@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions import temporal
+from ..functions import scalars, temporal
 from ..operators import graph, search, sessions, writes
 from ..sources import readers
 from ._register import Registry
@@ -134,18 +134,26 @@ def word_filter(spark, sf):
     return model.table(spark, sf, "quotes").select("quote_id", F.array_join(w, " ").alias("kept"))
 
 
-@q("SELECT meeting_id, regexp_extract(meeting_date || '-' || title, '^(\\d{4}-\\d{2}-\\d{2})', 1) AS day, CASE WHEN contains(upper(split_part(title, ' ', -1)), 'REVIEW') AND NOT contains(title, 'In') THEN 'yes' ELSE 'no' END AS verdict FROM meetings WHERE meeting_date IS NOT NULL", plain=True)
-def dates_and_verdicts(spark, sf):
+@q("SELECT meeting_id, regexp_extract(meeting_date || '-' || title, '^(\\d{4}-\\d{2}-\\d{2})', 1) AS day FROM meetings WHERE meeting_date IS NOT NULL", plain=True)
+def file_dates(spark, sf):
+    """The date at the start of a file name made of date and title."""
     m = model.table(spark, sf, "meetings").where("meeting_date is not null")
-    last = F.upper(F.element_at(F.split("title", " "), -1))
-    return m.select("meeting_id", F.regexp_extract(F.concat("meeting_date", F.lit("-"), "title"), r"^(\d{4}-\d{2}-\d{2})", 1).alias("day"), F.when(F.contains(last, F.lit("REVIEW")) & ~F.contains("title", F.lit("In")), "yes").otherwise("no").alias("verdict"))
+    return m.select("meeting_id", F.regexp_extract(F.concat("meeting_date", F.lit("-"), "title"), r"^(\d{4}-\d{2}-\d{2})", 1).alias("day"))
+
+
+@q("SELECT quote_id, coalesce(contains(upper(last), 'CORRECT') AND NOT contains(upper(last), 'INCORRECT'), false) AS right, picks FROM (SELECT quote_id, string_split(rtrim(reply, chr(10) || ' '), chr(10))[-1] AS last, CASE WHEN quote_id % 4 = 3 THEN '1,2,3' ELSE '2,' || (1 + quote_id % 3 % 2 * 2)::VARCHAR END AS picks FROM (SELECT quote_id, 'The INCORRECT one was first.' || chr(10) || CASE quote_id % 3 WHEN 0 THEN 'Verdict: correct' WHEN 1 THEN 'Incorrect' ELSE 'unclear' END || chr(10) AS reply FROM quotes))", plain=True)
+def replies(spark, sf):
+    """What judges and rankers answered: a verdict in the last line, and places as numbers."""
+    k = F.col("quote_id")
+    said = F.concat(F.lit("The INCORRECT one was first.\n"), F.when(k % 3 == 0, "Verdict: correct").when(k % 3 == 1, "Incorrect").otherwise("unclear"), F.lit("\n"))
+    listed = F.when(k % 4 == 3, "none of them").otherwise(F.concat(F.lit("[2], 2, 99 and "), (1 + k % 3 % 2 * 2).cast("string")))
+    return model.table(spark, sf, "quotes").select("quote_id", search.verdict(said).alias("right"), F.array_join(search.picked(listed, 3).cast("array<string>"), ",").alias("picks"))
 
 
 @q("SELECT event_id, CASE right(ts_text, 1) WHEN 's' THEN n WHEN 'm' THEN n * 60 ELSE n * 3600 END AS seconds FROM (SELECT event_id, event_id % 90 AS n, (event_id % 90)::VARCHAR || ['s', 'm', 'h'][1 + event_id % 3] AS ts_text FROM events)", plain=True)
 def interval_seconds(spark, sf):
     e = model.table(spark, sf, "events").select("event_id", F.concat((F.col("event_id") % 90).cast("string"), F.element_at(F.array(F.lit("s"), F.lit("m"), F.lit("h")), (1 + F.col("event_id") % 3).cast("int"))).alias("t"))
-    n = F.regexp_extract("t", r"^(\d+)", 1).cast("bigint")
-    return e.select("event_id", F.when(F.col("t").endswith("s"), n).when(F.col("t").endswith("m"), n * 60).otherwise(n * 3600).alias("seconds"))
+    return e.select("event_id", scalars.interval_seconds(F.col("t")).alias("seconds"))
 
 
 @q("SELECT to_json({'query_id': query_id, 'concept_id': concept_id, 'include_expired': include_expired})::VARCHAR AS json FROM temporal_queries", plain=True)
