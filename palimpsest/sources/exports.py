@@ -13,6 +13,16 @@ def json_nodes(nodes: DataFrame, label: str, properties: list[str], namespaces:
     return nodes.select(F.to_json(F.struct(F.array(F.lit(label)).alias("labels"), F.struct(*properties).alias("properties"))).alias("json"))
 
 
+def all_nodes(kinds: dict[str, tuple[DataFrame, list[str]]], strip: list[str] | None = None, namespaces: list[str] | None = None) -> DataFrame:
+    """label, json of the nodes of several kinds (label: table, properties), without the properties in ``strip``."""
+    out = None
+    for label, (nodes, properties) in kinds.items():
+        own = namespaces if "namespace" in nodes.columns else None
+        part = json_nodes(nodes, label, [p for p in properties if p not in (strip or [])], own).select(F.lit(label).alias("label"), "json")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def quoted(c: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
 
