@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import clean
+from .scratch import Scratch, once
 
 _LAST = ("updated_at", "recorded_at", "update_id", "name", "namespace", "description", "source", "url", "invalid_at", "invalidated_by", "reason")
 
@@ -15,7 +16,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def concepts(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest reported state of each concept; valid from its first report, expired 30 days after an explained invalidation."""
+    """The latest reported state of each concept; valid from its first report, expired 30 days after an explained invalidation.
+
+    Folded once in a session, as are the edges; :func:`palimpsest.scratch.forget` has them folded anew.
+    """
+    return once(spark, (sf, "concepts"), lambda scratch: (scratch.save(_concepts(spark, sf)),))[0]
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """src, rel_type, dst between concept ids; set semantics, both ends exist."""
+    return once(spark, (sf, "edges"), lambda scratch: (scratch.save(_edges(spark, sf)),))[0]
+
+
+def _concepts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "concept_updates").where("updated_at is not null")
     last = rows.groupBy("concept_id").agg(F.max(F.struct(*_LAST)).alias("v"), F.min("updated_at").alias("valid_at"))
     text = [clean(F.col(f"v.{c}")).alias(c) for c in ("description", "source", "url", "invalidated_by", "reason")]
@@ -23,8 +36,7 @@ def concepts(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("concept_id", "v.name", "v.namespace", "valid_at", "v.updated_at", "v.invalid_at", expired, *text)
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """src, rel_type, dst between concept ids; set semantics, both ends exist."""
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
     c = concepts(spark, sf)
     n = (c.agg(F.max("concept_id")).first()[0] or 0) + 1
     ids = c.select("concept_id", "name", "invalidated_by", F.lit(n).cast("bigint").alias("n"))
@@ -68,17 +80,15 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.where((F.size("embedding") == 64) & ~bad & F.exists("embedding", lambda x: x != 0))
 
 
-_built: dict[tuple, tuple[DataFrame, DataFrame]] = {}
-
-
 def fulltext(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, DataFrame]:
     """The full-text index of documents or concepts: built at its first use in a session, then read."""
-    key = spark.sparkContext.applicationId, sf, name
-    if key not in _built:
-        from .operators.search import build_index
+    from .operators.search import build_index
+
+    def make(scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        docs = (table(spark, sf, "documents"), "doc_id", ["text"]) if name == "documents" else (concepts(spark, sf), "concept_id", ["name", "description"])
+        return build_index(*docs, scratch)
 
-        _built[key] = build_index(table(spark, sf, "documents"), "doc_id", ["text"]) if name == "documents" else build_index(concepts(spark, sf), "concept_id", ["name", "description"])
-    return _built[key]
+    return once(spark, (sf, "fulltext", name), make)
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,7 +30,7 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int, deny: tuple[str, ...]
     ring leads back to it.  The frontier of each hop is written out, so plans stay short.
     """
     scratch = Scratch(edges.sparkSession, "walk")
-    step = edges.where(~F.col("rel_type").isin(*deny)).select(F.col("src").alias("at"), "dst").distinct()
+    step = scratch.save(edges.where(~F.col("rel_type").isin(*deny)).select(F.col("src").alias("at"), "dst").distinct())
     frontier = starts.select("start", F.col("start").alias("at")).distinct()
     seen = None
     for hop in range(1, depth + 1):

@@ -257,12 +257,12 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build_index(docs: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, key: str, fields: list[str], scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Postings (term, field, key, tf, n, places; stored by bucket of the term) and field statistics (field, docs, words), written once.
 
     A hot term's postings are spread over several files of its bucket; a query reads the buckets of its terms only.
     """
-    scratch = Scratch(docs.sparkSession, "fulltext")
+    scratch = scratch or Scratch(docs.sparkSession, "fulltext")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields]))
     words = docs.select(F.col(key).alias("key"), each.alias("f")).select("key", "f.field", "f.t", F.size("f.t").alias("n")).where("n > 0")
     place = words.select("key", "field", "n", F.posexplode("t").alias("place", "term"))

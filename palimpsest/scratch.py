@@ -65,6 +65,28 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(3 * cores, F.xxhash64(*by))
 
 
+_held: dict[tuple, tuple[str, tuple[DataFrame, ...]]] = {}
+
+
+def once(spark: SparkSession, key: tuple, make) -> tuple[DataFrame, ...]:
+    """The tables that ``make`` writes into a scratch area, made at their first use in a session and again if they were deleted meanwhile."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key in _held:
+        path, made = _held[key]
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return made
+    scratch = Scratch(spark, "held")
+    made = make(scratch)
+    _held[key] = scratch.path, made
+    return made
+
+
+def forget() -> None:
+    """Make the held tables anew at their next use, for sessions whose stored tables have changed."""
+    _held.clear()
+
+
 class Scratch:
     """Tables of one operator call, written to the shared folder under a name of their own."""
 
