@@ -126,7 +126,7 @@ def snippet(c: Column, longest: int) -> Column:
 
 def unfenced(c: Column) -> Column:
     """Text without the fences of a code block around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?:```json|```)+", ""), r"(?:```)+$", ""))
+    return F.regexp_replace(F.regexp_replace(c, r"^\s*(?:```json|```)*\s*", ""), r"\s*(?:```)*\s*$", "")
 
 
 def moment_of(c: Column) -> Column:
