@@ -1,11 +1,11 @@
 """Splitting oversized documents at natural boundaries, by dynamic programming.
 
 Cut positions are all ends of cells, paragraphs, lines, sentences and words, and, only in stretches
-without any of these, all places between tokens.  Over the cuts of a document, in order, the cost
+without any of these, all places between pre-tokens and between the tokens of very long ones.  Over the cuts of a document, in order, the cost
 of a split is the sum of its cut penalties and of the squared deviations of the piece sizes from an
 even size; the cheapest split with every piece within the limit is taken.  A piece starts at the
 earliest natural end at which it shares at most the wanted overlap with the piece before; after a
-cut at no natural end, at the earliest place between tokens.
+cut at no natural end, at the earliest such place.
 
 Sizes are exact: they count the tokens that a piece has when it is encoded by itself, which at a cut
 within white space differs from its share of the tokens of the document.
@@ -30,7 +30,8 @@ KINDS = ("cell", "paragraph", "line", "sentence", "word", "other")
 PENALTY = np.array([0.0, 0.1, 0.25, 0.5, 1.0, 6.0])
 IMBALANCE = 2.0
 TOKENS = 0xFFFFFFF
-EDGE = 2
+#: Tokens that a piece may have more by itself where it starts or ends within a word; tokens up to which a pre-token is never cut.
+EDGE, WHOLE = 2, 16
 PIECE = 0.5
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 
@@ -39,10 +40,15 @@ class _Runs(dict):
     """Of a run of white space with line ends: its last line end, the kind, and the tokens of the parts before it and after it (without the last character)."""
 
     def __init__(self, bpe: ByteBPE):
-        self.bpe = bpe
+        self.bpe, self.sizes = bpe, {"": 0}
 
     def size(self, text: str) -> int:
-        return self.bpe.count(text) if text else 0
+        """Tokens of a text; those of short ones, which come again and again, are remembered."""
+        if (n := self.sizes.get(text)) is None:
+            n = self.bpe.count(text)
+            if len(text) < 64 and len(self.sizes) < 200_000:
+                self.sizes[text] = n
+        return n
 
     def __missing__(self, run: str) -> tuple[int, int, int, int]:
         ends = [m.end() for m in _BREAK.finditer(run)]
@@ -55,7 +61,7 @@ class _Doc:
     """One document: its natural ends, and the token counts of pieces that start or end there."""
 
     def __init__(self, text: str, words: list[str], bpe: ByteBPE, info: np.ndarray, cells: list[int], runs: _Runs):
-        self.text, self.bpe, self.words = text, bpe, words
+        self.text, self.bpe, self.words, self.memo = text, bpe, words, runs
         self.pos = np.zeros(len(words) + 1, dtype=np.int64)
         np.cumsum(info & 0x3FFFFFFF, out=self.pos[1:])
         self.sums = np.zeros(len(words) + 1, dtype=np.int64)
@@ -88,41 +94,37 @@ class _Doc:
         word_kind = np.where(stop[place - 1], SENTENCE, WORD)
         ok = (word > 0) & (word < n)
         word, word_tokens, word_kind = word[ok], word_tokens[ok], word_kind[ok]
-        pos, kind, e, s = [], [], [], []
         ends_in_text = set(c for c in cells if 0 < c < n)
         sums, place = self.sums, self.pos
-        for i, a, b in zip(first[has].tolist(), begin[has].tolist(), ends[has].tolist()):
-            run = text[a:b]
-            p, k, before, rest = memo[run]
-            at = a + p
-            if at >= n:
-                continue
-            if at in ends_in_text:
-                ends_in_text.discard(at)
-                k = CELL
-            pos.append(at)
-            kind.append(k)
-            e.append(int(sums[i]) + before)
-            s.append((b, rest, at))
-        if pos:
-            b, rest, at = (np.array(x, dtype=np.int64) for x in zip(*s))
-            inner = (b - at > 1) & (b < n)
-            edge = np.where(b - at > 0, b - 1, b)
-            k = np.searchsorted(place, edge)
-            exact = place[np.minimum(k, len(place) - 1)] == edge
-            s = np.where(inner, sums[k] - rest, sums[k])
-            for q in np.nonzero(~exact | ((b == n) & (b > at)))[0].tolist():
-                s[q] = self._before(pos[q])
-        else:
-            s = np.zeros(0, dtype=np.int64)
-        for p in sorted(ends_in_text):
+        begin, b, i = begin[has], ends[has], first[has]
+        told = map(memo.__getitem__, [text[x:y] for x, y in zip(begin.tolist(), b.tolist())])
+        told = np.fromiter(chain.from_iterable(told), dtype=np.int64, count=4 * len(i)).reshape(-1, 4)
+        at = begin + told[:, 0]
+        if len(at) and at[-1] >= n:  # the last run may end the text
+            at, b, i, told = at[:-1], b[:-1], i[:-1], told[:-1]
+        kind, e, rest = told[:, 1].copy(), sums[i] + told[:, 2], told[:, 3]
+        if ends_in_text and len(at):
+            met = np.isin(at, list(ends_in_text))
+            kind[met] = CELL
+            ends_in_text.difference_update(at[met].tolist())
+        inner = (b - at > 1) & (b < n)
+        edge = np.where(b - at > 0, b - 1, b)
+        k = np.searchsorted(place, edge)
+        exact = place[np.minimum(k, len(place) - 1)] == edge
+        s = np.where(inner, sums[k] - rest, sums[k])
+        for q in np.nonzero(~exact | ((b == n) & (b > at)))[0].tolist():
+            s[q] = self._before(int(at[q]))
+        pos, kind, e = at.tolist(), kind.tolist(), e.tolist()
+        lone = sorted(ends_in_text)  # only these can fall on the end of a word
+        for p in lone:
             pos.append(p)
             kind.append(CELL)
             e.append(self._upto(p, memo))
             s = np.append(s, self._before(p))
         pos, kind, e = np.array(pos, dtype=np.int64), np.array(kind, dtype=np.int64), np.array(e, dtype=np.int64)
-        clash = np.isin(word, pos) if len(pos) else np.zeros(len(word), dtype=bool)
-        word, word_tokens, word_kind = word[~clash], word_tokens[~clash], word_kind[~clash]
+        if lone:
+            free = ~np.isin(word, lone)
+            word, word_tokens, word_kind = word[free], word_tokens[free], word_kind[free]
         pos = np.concatenate([pos, word])
         order = np.argsort(pos, kind="stable")
         self.natural = (
@@ -136,7 +138,7 @@ class _Doc:
         """Tokens before a piece that starts at ``p``."""
         k = int(np.searchsorted(self.pos, p))
         end = int(self.pos[k])
-        return int(self.sums[k]) - (self.bpe.count(self.text[p:end]) if end > p else 0)
+        return int(self.sums[k]) - self.memo.size(self.text[p:end])
 
     def _upto(self, p: int, memo: _Runs) -> int:
         """Tokens from the start of the text to a piece's end at ``p``."""
@@ -151,17 +153,21 @@ class _Doc:
         """(position, tokens before) between two token counts, where nothing natural stands."""
         i, j = np.searchsorted(self.sums, low, side="right"), np.searchsorted(self.sums, high, side="left")
         i, j = max(1, i) - 1, min(len(self.words), j)
-        ids = np.fromiter(chain.from_iterable(map(self.bpe.known.__getitem__, self.words[i:j])), dtype=np.int64)
+        each = list(map(self.bpe.known.__getitem__, self.words[i:j]))
+        ids = np.fromiter(chain.from_iterable(each), dtype=np.int64)
         if not len(ids):
             return []
+        n = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        fit = np.repeat(n > WHOLE, n)  # shorter pre-tokens stay whole
+        fit[np.cumsum(n) - n] = True
         start, stretch = int(self.pos[i]), self.text[int(self.pos[i]) : int(self.pos[j])]
         upto = np.concatenate([[0], np.cumsum(self.bpe.sizes[ids])[:-1]])  # bytes and tokens before each token
         at = int(self.sums[i]) + np.arange(len(ids))
         if not stretch.isascii():  # only where the tokens so far are whole characters
             opens = np.frombuffer(stretch.encode("utf-8", "replace"), dtype=np.uint8) & 0xC0 != 0x80
             whole = opens[upto]
-            upto, at = np.cumsum(opens)[upto[whole]] - 1, at[whole]
-        ok = (at > low) & (at < high)
+            upto, at, fit = np.cumsum(opens)[upto[whole]] - 1, at[whole], fit[whole]
+        ok = (at > low) & (at < high) & fit
         return list(zip((start + upto[ok]).tolist(), at[ok].tolist()))
 
     def split(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
@@ -181,9 +187,9 @@ class _Doc:
             cp, ck, ce, cs = cp[order], ck[order], ce[order], cs[order]
         # where the next piece starts: the earliest natural end that shares at most the overlap, or place if the cut is no natural end
         np_, ns = cp.copy(), cs.copy()
-        for mine, p, t in ((ck != OTHER, pos, s), (ck == OTHER, cp, cs)):
+        for mine, p, t, share in ((ck != OTHER, pos, s, overlap), (ck == OTHER, cp, cs, max(0, overlap - EDGE))):
             if len(p) and mine.any():
-                at = np.minimum(np.searchsorted(t, ce[mine] - overlap, side="left"), len(t) - 1)
+                at = np.minimum(np.searchsorted(t, ce[mine] - share, side="left"), len(t) - 1)
                 ok = p[at] < cp[mine]
                 np_[mine], ns[mine] = np.where(ok, p[at], cp[mine]), np.where(ok, t[at], cs[mine])
         if hard:
@@ -225,15 +231,19 @@ class _Doc:
     def _cheapest(begin: np.ndarray, ends: np.ndarray, fine: np.ndarray, even: float, limit: int, scale: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Cost of the cheapest split up to each cut and the cut before it; all pieces but the last have ``least`` tokens or more."""
         n = len(ends)
-        best = np.full(n, np.inf)
-        best[0] = 0.0
-        back = np.zeros(n, dtype=np.int64)
         at = np.arange(n)
         low = np.searchsorted(begin, ends - limit, side="left")
         high = np.minimum(np.searchsorted(begin, ends - least, side="right"), at)
         high[-1] = n - 1
         upto = np.searchsorted(high, at, side="right").tolist()  # cuts whose predecessors all lie before this one
         lows, highs, j = low.tolist(), high.tolist(), 1
+        # (end - even - begin) squared is taken apart: what depends on the predecessor alone is added to its cost
+        end, from_ = ends - even, np.append(begin, 0).astype(np.float64)
+        own, square, slope = scale * end * end + fine, scale * from_ * from_, (-2 * scale) * from_
+        best, back = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+        best[0] = 0.0
+        ahead = best + square
+        low, high = low[:, None], high[:, None]
         while j < n:
             m = max(j + 1, min(upto[j], n))
             a, b = lows[j], highs[m - 1]
@@ -241,20 +251,20 @@ class _Doc:
                 m = max(j + 1, n - 1)
                 b = highs[m - 1]
             if b > a:
-                # (end - begin - even) squared, without what is the same for all predecessors
-                end = ends[j:m] - even - begin[a]
-                from_ = (begin[a:b] - begin[a]).astype(np.float64)
-                cost = np.multiply.outer(end, (-2 * scale) * from_)
-                cost += best[a:b] + scale * from_ * from_
+                cost = np.multiply.outer(end[j:m], slope[a:b])
+                cost += ahead[a:b]
                 if lows[m - 1] > a:  # only the corners of the band need to be cut off
-                    corner = cost[:, : lows[m - 1] - a]
-                    np.copyto(corner, np.inf, where=at[a : lows[m - 1]] < low[j:m, None])
+                    np.copyto(cost[:, : lows[m - 1] - a], np.inf, where=at[a : lows[m - 1]] < low[j:m])
                 if highs[j] < b:
-                    corner = cost[:, max(0, highs[j] - a) :]
-                    np.copyto(corner, np.inf, where=at[max(a, highs[j]) : b] >= high[j:m, None])
+                    np.copyto(cost[:, max(0, highs[j] - a) :], np.inf, where=at[max(a, highs[j]) : b] >= high[j:m])
                 k = cost.argmin(axis=1)
-                best[j:m] = cost[at[: m - j], k] + scale * end * end + fine[j:m]
-                back[j:m] = a + k
+                found = cost[at[: m - j], k]
+                found += own[j:m]
+                best[j:m] = found
+                found += square[j:m]
+                ahead[j:m] = found
+                k += a
+                back[j:m] = k
             j = m
         return best, back
 
@@ -294,11 +304,17 @@ class _Doc:
             if found and not any(x[4] == OTHER for x in found):
                 return found
             exact: list[tuple[int, int, int, int, int]] = []
-            for start, end, _, _, kind in found:
-                before = exact[-1][1] if exact else start
-                if start < before and exact[-1][4] == OTHER and count(self.text[start:before]) > overlap:
-                    start = self._within(start, before, overlap)
-                exact.append((start, end, count(self.text[start:end]), count(self.text[start:before]) if start < before else 0, kind))
+            for piece in found:
+                start, end, _, _, kind = piece
+                after = exact[-1][4] if exact else CELL
+                if OTHER in (after, kind):  # between natural ends the sizes are exact
+                    before = exact[-1][1] if exact else start
+                    shared = count(self.text[start:before]) if start < before else 0
+                    if shared > overlap and after == OTHER:
+                        start = self._within(start, before, overlap)
+                        shared = count(self.text[start:before]) if start < before else 0
+                    piece = start, end, count(self.text[start:end]), shared, kind
+                exact.append(piece)
             if exact and all(x[2] <= limit and x[3] <= overlap for x in exact):
                 return exact
             tight -= max(8, limit // 32)

@@ -36,7 +36,7 @@ BREAKS = frozenset("\n\x0b\x0c\r\x85\u2028\u2029")
 STOPS, WIDE_STOPS, CLOSERS = frozenset(".!?…‽؟।"), frozenset("。！？｡"), "\"'”’»)]}」』）】"
 NONE = np.int32(2**30)
 LONGEST = 64  # pre-tokens of more bytes have a tree of their own
-REMEMBER = 300_000
+REMEMBER = 600_000
 
 
 def _compiled(letters: str, digits: str, spaces: str) -> re.Pattern:
@@ -225,8 +225,10 @@ class ByteBPE:
                 flags = 0
                 if w[0] in WHITE:
                     flags = 8 if w.strip(WHITE) else 12 if BREAKS.isdisjoint(w) else 28
-                last = w.rstrip(CLOSERS)[-1:]
-                self.shape[w] = len(w) | len(self.known[w]) << 30 | (flags | (last in STOPS) << 1 | (last in WIDE_STOPS)) << 58
+                if not w[-1].isalnum():
+                    last = w.rstrip(CLOSERS)[-1:]
+                    flags |= (last in STOPS) << 1 | (last in WIDE_STOPS)
+                self.shape[w] = len(w) | len(self.known[w]) << 30 | flags << 58
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """The pre-tokens of each text, all of them known afterwards."""
