@@ -245,3 +245,17 @@ def merged_concepts(named: DataFrame, *order: str) -> DataFrame:
     rest = [c for c in named.columns if c not in ("name", *order)]
     first = named.groupBy("name").agg(F.min(F.struct(*order, *rest)).alias("v"))
     return first.select("name", *[F.col(f"v.{c}") for c in (*order, *rest)])
+
+
+def chunks(it: Iterator[str], budget: int) -> Iterator[list[str]]:
+    """Consecutive texts in groups of at most ``budget`` bytes (a longer one alone), for callers that work on one session's texts."""
+    held, size = [], 0
+    for t in it:
+        n = len(t.encode())
+        if held and size + n > budget:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += n
+    if held:
+        yield held
