@@ -14,7 +14,7 @@ reduced graph.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -26,16 +26,21 @@ def _walk(scratch: Scratch, jumps: DataFrame, paths: bool) -> DataFrame:
     ``jumps``: id, ptr, dist, done (and seg, the ids from id up to but without ptr).
     """
     more = ["seg"] if paths else []
-    table = scratch.save(jumps)
+
+    def saved(rows: DataFrame) -> tuple[DataFrame, int]:
+        """The written rows, and how many of them still walk (counted while writing)."""
+        seen = Observation()
+        out = scratch.save(rows.observe(seen, F.count_if(~F.col("done")).alias("left")))
+        return out, seen.get["left"]
+
+    table, n = saved(jumps)
     finished = [table.where("done")]
     active = table.where("not done")
-    n = active.count()
     while n:
         target = table.select(F.col("id").alias("ptr"), F.col("ptr").alias("to"), F.col("dist").alias("far"), F.col("done").alias("end"), *[F.col(c).alias(f"{c}2") for c in more])
         step = active.drop("done").join(target, "ptr")
         step = step.select("id", F.col("to").alias("ptr"), (F.col("dist") + F.col("far")).alias("dist"), F.col("end").alias("done"), *[F.concat(c, f"{c}2").alias(c) for c in more])
-        step = scratch.save(step)
-        left = step.where("not done").count()
+        step, left = saved(step)
         finished.append(step.where("done"))
         if left == n:
             break
