@@ -12,9 +12,9 @@ from .conversations import conversations
 from .leakage import leaks
 from .neighbours import neighbours
 from .pii import message_texts, with_placeholders
-from .splitting import split_documents
+from .splitting import joined, split_documents
 from .surrogates import pseudonyms, with_surrogates
-from .tokenizer import encode_corpus
+from .tokenizer import decode_corpus, encode_corpus
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,8 +70,8 @@ def p6_found(spark, sf):
     return _mapped(spark, sf).select("topic_id", "canon_id")
 
 
-def p6_ambiguous(spark, sf):
-    return _mapped(spark, sf).where("ambiguous").groupBy("canon_id").agg(F.count("*").alias("n_topics"))
+def p6_counts(spark, sf):
+    return _mapped(spark, sf).where("canon_id >= 0").groupBy("canon_id").agg(F.count("*").alias("n_topics"), F.count_if("ambiguous").alias("n_ambiguous"))
 
 
 def p6_unmatched(spark, sf):
@@ -84,6 +84,11 @@ def p7_ids(spark, sf):
     return encode_corpus(_table(spark, sf, "documents"))
 
 
+def p7_round_trip(spark, sf):
+    """Digests of the texts that the ids spell."""
+    return decode_corpus(p7_ids(spark, sf)).select("doc_id", F.md5("text").alias("digest"))
+
+
 def p8_found(spark, sf):
     return leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).where("run_words >= 13").select("doc_id", "item_id")
 
@@ -96,7 +101,14 @@ def p9_pieces(spark, sf):
     return split_documents(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p4_found, p4_placeholders, p4_surrogates, p5_found, p5_roles, p6_found, p6_ambiguous, p6_unmatched, p7_ids, p8_found, p8_leaks, p9_pieces)}
+def p9_joined(spark, sf):
+    """Digests of all texts, the split ones put together from their pieces, and whether the pieces keep to the limits."""
+    docs = _table(spark, sf, "documents").where("text is not null").select("doc_id", F.md5("text").alias("whole"))
+    back = joined(p9_pieces(spark, sf)).select("doc_id", F.md5("text").alias("again"), ((F.col("most_tokens") <= 512) & (F.col("most_shared") <= 64)).alias("fits"))
+    return docs.join(back, "doc_id", "left").select("doc_id", F.coalesce("again", "whole").alias("digest"), F.coalesce("fits", F.lit(True)).alias("fits"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_knn, p4_found, p4_placeholders, p4_surrogates, p5_found, p5_roles, p6_found, p6_counts, p6_unmatched, p7_ids, p7_round_trip, p8_found, p8_leaks, p9_pieces, p9_joined)}
 
 _TURNS = r"""
 WITH RECURSIVE lines AS (
@@ -187,7 +199,9 @@ ORACLES = {
     "p2_found": _COSINES.format(where="") + "SELECT DISTINCT least(vec_id, other_id) AS vec_a, greatest(vec_id, other_id) AS vec_b FROM best WHERE rank <= 5 AND similarity >= 0.85",
     "p2_knn": _COSINES.format(where="WHERE a.vec_id % 50 = 0") + "SELECT vec_id, other_id, similarity, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 5",
     "p6_found": _CANONICAL + "SELECT DISTINCT t.topic_id, CAST(coalesce(hit.canon_id, -1) AS INTEGER) AS canon_id FROM topics t LEFT JOIN hit ON hit.topic_id = t.topic_id",
-    "p6_ambiguous": _CANONICAL + "SELECT canon_id, count(*) AS n_topics FROM hit WHERE canon_id <> last_id GROUP BY canon_id",
+    "p6_counts": _CANONICAL + "SELECT canon_id, count(*) AS n_topics, count(*) FILTER (canon_id <> last_id) AS n_ambiguous FROM hit GROUP BY canon_id",
+    "p7_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p9_joined": "SELECT doc_id, md5(text) AS digest, true AS fits FROM documents WHERE text IS NOT NULL",
     "p6_unmatched": _CANONICAL + "SELECT name, normalized_name, count(*) AS n_topics FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM hit) GROUP BY name, normalized_name",
     "p8_found": f"SELECT DISTINCT d.doc_id, i.item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) d JOIN ({_GRAMS.format(id='item_id', table='eval_items')}) i ON d.gram = i.gram",
     "p5_found": _TURNS + "SELECT root AS root_uuid, CAST(seq_no AS INTEGER) AS seq_no, uuid FROM told WHERE root IN (SELECT root FROM kept)",

@@ -19,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import spread
@@ -369,3 +369,14 @@ def split_documents(
                 yield pa.RecordBatch.from_arrays([ids, *arrays], names)
 
     return spread(rows, id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, piece_no int, start_pos int, end_pos int, n_tokens int, overlap_tokens int, cut string, text string")
+
+
+def joined(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id_col``, text, most_tokens, most_shared: the texts that pieces were cut from, overlaps left out, with the largest size and overlap.
+
+    Pieces of one text meet in one task, which holds no more than that text.  An empty table gives no rows.
+    """
+    before = F.lag("end_pos", 1, 0).over(Window.partitionBy(id_col).orderBy("piece_no"))
+    own = pieces.withColumn("skip", before - F.col("start_pos")).withColumn("own", F.substring(F.col("text"), F.col("skip") + 1, F.length("text")))
+    out = own.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("piece_no", "own"))).alias("p"), F.max("n_tokens").alias("most_tokens"), F.max("overlap_tokens").alias("most_shared"))
+    return out.select(id_col, F.array_join(F.transform("p", lambda x: x["own"]), "").alias("text"), "most_tokens", "most_shared")

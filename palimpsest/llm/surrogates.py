@@ -302,7 +302,10 @@ def surrogates(words: DataFrame, names: DataFrame | None, key: str, most: int =
             free = free.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
         free = scratch.save(free.withColumn("at", F.row_number().over(first)).where("at = 1").select("space", "word", "surrogate"))
         done = free if done is None else done.unionByName(free)
-        left = scratch.save(made.drop("surrogate").join(free, ["space", "word"], "left_anti"))
+        before, left = left, scratch.save(made.drop("surrogate").join(free, ["space", "word"], "left_anti"))
+        scratch.drop(made)
+        if attempt:
+            scratch.drop(before)
         if left.isEmpty():
             return done
     raise RuntimeError(f"no distinct surrogates after {most} attempts")

@@ -90,6 +90,8 @@ class ByteBPE:
         self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of each token
         for w, i in vocab.items():
             self.sizes[i] = len(w)
+        byte = {c: b for b, c in char.items()}
+        self.spelt = {i: bytes(byte[c] for c in w) for w, i in vocab.items() if all(c in byte for c in w)}
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a.astype(np.int64) << 32) | b
@@ -246,6 +248,10 @@ class ByteBPE:
         self.learn(set(words))
         return sum(len(self.known[w]) for w in words)
 
+    def text(self, ids: Iterable[int]) -> str:
+        """The text that some ids spell; bytes that are no characters are replaced."""
+        return b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         known = self.known.__getitem__
         return [list(chain.from_iterable(map(known, p))) for p in self.encode(texts)]
@@ -300,3 +306,16 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [id_col, "ids"])
 
     return spread(rows, id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+
+
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", tokenizer_path: str = DEFAULT) -> DataFrame:
+    """``id_col`` and text of every row of ``encoded`` (``id_col``, ids), the way back of :func:`encode_corpus`; '' for null and empty lists."""
+    rows = encoded.select(encoded[id_col].alias(id_col), encoded["ids"].alias("ids"))
+    kind = rows.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(tokenizer_path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.text(x or ()) for x in batch.column(1).to_pylist()], pa.string())], [id_col, "text"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, text string")
