@@ -188,3 +188,20 @@ def duplicate_guard(new: DataFrame, vectors: DataFrame, concepts: DataFrame, thr
 def broken_references(patches: DataFrame, files: DataFrame) -> DataFrame:
     """Patches that name a file (path) which isn't in the listing."""
     return patches.where("path <> ''").join(files.select("path"), "path", "left_anti")
+
+
+def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df``, or an error if a key occurs twice; for the step before a write."""
+    twice = duplicate_keys(df, key).limit(3).collect()
+    if twice:
+        raise ValueError(f"keys that occur more than once: {[tuple(r)[:-1] for r in twice]}")
+    return df
+
+
+def adopt_descriptions(concepts: DataFrame, merges: DataFrame) -> DataFrame:
+    """Concepts after ``merges`` (duplicate, canonical): a canonical one takes the longest description of its duplicates if that is longer than its own (bytes; of equal ones the largest)."""
+    text = concepts.select(F.col("concept_id").alias("duplicate"), F.struct(F.octet_length("description").alias("n"), F.col("description").alias("text")).alias("d"))
+    best = merges.join(text, "duplicate").groupBy(F.col("canonical").alias("concept_id")).agg(F.max("d").alias("_best"))
+    out = concepts.join(best, "concept_id", "left")
+    longer = F.col("_best.n") > F.coalesce(F.octet_length("description"), F.lit(0))
+    return out.withColumn("description", F.when(longer, F.col("_best.text")).otherwise(F.col("description"))).select(*concepts.columns)

@@ -22,12 +22,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "rel_type", "dst").unionByName(back)
 
 
-def walk(edges: DataFrame, starts: DataFrame, depth: int, deny: tuple[str, ...] = DENIED, keep: Column | None = None) -> DataFrame:
+def walk(edges: DataFrame, starts: DataFrame, depth: int, deny: tuple[str, ...] = DENIED, keep: Column | None = None, limit: int | None = None) -> DataFrame:
     """start, dst, hops: distinct ends of directed walks of 1 to ``depth`` edges, with the fewest hops.
 
     ``starts`` has a column ``start``.  Denied types are dropped before the first hop; ``keep`` (a
     condition on ``dst``) applies to ends only, not to what lies between.  A start is found again where a
-    ring leads back to it.  The frontier of each hop is written out, so plans stay short.
+    ring leads back to it.  The frontier of each hop is written out, so plans stay short.  ``limit`` keeps the
+    nearest ends of each start, ties by the smaller ``dst``.
     """
     scratch = Scratch(edges.sparkSession, "walk")
     step = scratch.save(edges.where(~F.col("rel_type").isin(*deny)).select(F.col("src").alias("at"), "dst").distinct())
@@ -40,7 +41,8 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int, deny: tuple[str, ...]
         reached = scratch.save(reached.withColumn("hops", F.lit(hop)))
         seen = reached if seen is None else seen.unionByName(reached)
         frontier = reached.select("start", F.col("dst").alias("at"))
-    return seen.where(keep) if keep is not None else seen
+    seen = seen.where(keep) if keep is not None else seen
+    return top_per(seen, "start", limit, F.col("hops"), F.col("dst")) if limit else seen
 
 
 def chain(edges: DataFrame, starts: DataFrame, rel_type: str, longest: int = 10) -> DataFrame:

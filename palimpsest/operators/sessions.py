@@ -88,6 +88,12 @@ def centroid(vectors: DataFrame, key: str, embedding: str = "embedding") -> Data
     return vectors.select(key, F.posexplode(embedding).alias("at", "v")).groupBy(key, "at").agg(F.avg(F.col("v").cast("double")).alias("mean"))
 
 
+def first_dimension(vectors: DataFrame, key: str, *order: str, embedding: str = "embedding") -> DataFrame:
+    """Of each group the vectors that have as many numbers as its first one."""
+    first = vectors.where(F.size(embedding) > 0).groupBy(key).agg(F.min(F.struct(*order, F.size(embedding).alias("_n")))["_n"].alias("_n"))
+    return vectors.join(first, key).where(F.size(embedding) == F.col("_n")).drop("_n")
+
+
 def salient(turns: DataFrame, budget: int) -> DataFrame:
     """session_id, uuid, line_no, score, kept: all turns, of which those are kept that greedy packing by score fits into ``budget`` bytes per session.
 
@@ -259,3 +265,10 @@ def chunks(it: Iterator[str], budget: int) -> Iterator[list[str]]:
         size += n
     if held:
         yield held
+
+
+def listed_names(replies: DataFrame, reply: str) -> DataFrame:
+    """``replies`` with a row for each distinct proper name of a reply that lists them with commas; one that says NONE has none."""
+    told = replies.where(F.trim(reply) != "NONE")
+    names = told.withColumn("name", F.explode(F.array_distinct(F.transform(F.split(reply, ","), lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("-"))))))
+    return concept_names(names.withColumn("description", F.lit("-"))).drop("description")

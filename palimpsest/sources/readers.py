@@ -50,3 +50,16 @@ def csv_markdown(header: list[str], rows: DataFrame, keep: list[str] | None = No
     wide = rows.agg(*[F.greatest(F.lit(len(h)), F.coalesce(F.max(F.length(h)), F.lit(0))).alias(h) for h in header]).first()
     line = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
     return rows.select(*(keep or []), line([F.rpad(F.coalesce(h, F.lit("")), wide[h], " ") for h in header]).alias("line"))
+
+
+def cache_put(cache: DataFrame, fetched: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """The cache (url, content, fetched_at) after fetches (url, content): one entry per url; with 0 ``seconds`` the cache is neither read nor written."""
+    if not seconds:
+        return cache
+    new = fetched.groupBy("url").agg(F.max("content").alias("content")).withColumn("fetched_at", now)
+    return cache.join(new.select("url"), "url", "left_anti").select("url", "content", "fetched_at").unionByName(new)
+
+
+def cache_sweep(cache: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """The cache without entries older than ``seconds``."""
+    return cache.where(F.unix_seconds(now) - F.unix_seconds("fetched_at") <= seconds)

@@ -225,3 +225,24 @@ def test_pending_and_reviews(spark):
     q = spark.createDataFrame([("a",), ("b",), ("c",)], "query string")
     parts = deadends.reviewed(q, spark.createDataFrame([("a", "Commit"), ("b", "skip"), ("c", "quit")], "query string, choice string"))
     assert [rows(x) for x in parts] == [[("a",)], [("b",)], [("c",)]]
+
+
+def test_guards_caches_and_first_dimensions(spark):
+    from palimpsest.sources import readers
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string")
+    with pytest.raises(ValueError):
+        audit.require_unique(df, ["k"])
+    assert audit.require_unique(df, ["k", "v"]).count() == 3
+    cache = spark.createDataFrame([("u", "old"), ("w", "old")], "url string, content string").withColumn("fetched_at", at("2023-12-31T23:50:00Z"))
+    new = spark.createDataFrame([("u", "new"), ("u", "new"), ("x", None)], "url string, content string")
+    put = readers.cache_put(cache, new, at())
+    assert sorted((r.url, r.content) for r in put.collect()) == [("u", "new"), ("w", "old"), ("x", None)]
+    assert sorted(r.url for r in readers.cache_sweep(put, at()).collect()) == ["u", "x"] and readers.cache_put(cache, new, at(), 0).count() == 2
+    v = spark.createDataFrame([("g", 2, [1.0]), ("g", 1, [1.0, 2.0]), ("g", 3, [3.0, 4.0]), ("g", 0, []), ("h", 1, None)], "k string, o int, embedding array<double>")
+    assert sorted(r.o for r in sessions.first_dimension(v, "k", "o").collect()) == [1, 3]
+    walks = graph.walk(spark.createDataFrame([(1, "R", 2), (1, "R", 3), (2, "R", 4)], "src int, rel_type string, dst int"), spark.createDataFrame([(1,)], "start int"), 2, limit=2)
+    assert rows(walks) == [(1, 2, 1), (1, 3, 1)]
+    c = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, None), (4, "x")], "concept_id int, description string")
+    m = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (4, 3)], "duplicate int, canonical int")
+    assert rows(audit.adopt_descriptions(c, m)) == [(1, "abcd"), (2, "abcd"), (3, "x"), (4, "x")]
