@@ -58,8 +58,12 @@ def _longest_run(a: list[int], b: list[int]) -> int:
         where.setdefault(y, []).append(j)
     prev: dict[int, int] = {}
     for x in a:
-        prev = {j: prev.get(j - 1, 0) + 1 for j in where.get(x, ())}
-        best = max(best, max(prev.values(), default=0))
+        if (places := where.get(x)) is None:
+            prev = {}
+            continue
+        prev = {j: prev.get(j - 1, 0) + 1 for j in places}
+        if (run := max(prev.values())) > best:
+            best = run
     return best
 
 
@@ -396,7 +400,8 @@ def _block(regions: DataFrame, items: _Items, shape: _Shape, kinds: tuple[str, s
             flat = places.ravel()
             for a in range(0, len(of), PAIRS):
                 p, j = of[a : a + PAIRS], js[a : a + PAIRS]
-                shared = _subsequences([flat.take(p * (v + 1) + word.take(j)) for word in padded], shape.width)
+                base = p * (v + 1)
+                shared = _subsequences([flat.take(word.take(j, mode="clip") + base, mode="clip") for word in padded], shape.width)
                 ok = shared >= need.take(j)
                 p, j, shared = p[ok], j[ok], shared[ok]
                 masks = places[p[:, None], padded[:, j].T]
