@@ -153,11 +153,19 @@ def knowledge_orphans(concepts: DataFrame, edges: DataFrame) -> DataFrame:
     return orphans(concepts.where("invalid_at is null and expired_at is null"), links, "concept_id")
 
 
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table."""
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in tables])
+
+
 def enrich_effect(concepts: DataFrame, edges: DataFrame, proposed: DataFrame) -> DataFrame:
     """before, after: knowledge orphans without and with the proposed edges."""
     more = edges.select("src", "rel_type", "dst").unionByName(proposed.select("src", "rel_type", "dst")).distinct()
-    n = lambda e, c: knowledge_orphans(concepts, e).agg(F.count("*").alias(c))
-    return n(edges, "before").join(n(more, "after"))  # one row each
+    return counted({"before": knowledge_orphans(concepts, edges), "after": knowledge_orphans(concepts, more)})
 
 
 def staleness_report(concepts: DataFrame, patches: DataFrame, edges: DataFrame, pairs: DataFrame, at: Column, days: int, scope: list[str], rows: int = 50) -> DataFrame:

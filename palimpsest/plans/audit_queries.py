@@ -252,8 +252,8 @@ def cascade_entries(spark, sf):
 
 
 def _shown(starts, results):
-    from_ = starts.agg(F.min("tier").alias("tier"), F.min("concept_id").alias("start_id"))  # one row
-    return results.join(from_).select("tier", "start_id", "kind", "id", "similarity")
+    first = starts.agg(F.min("tier").alias("tier"), F.min("concept_id").alias("start_id")).first()  # of at most a few entries
+    return results.select(F.lit(first["tier"]).alias("tier"), F.lit(first["start_id"]).cast("bigint").alias("start_id"), "kind", "id", "similarity")
 
 
 QUERIES, ORACLES = q.queries, q.oracles

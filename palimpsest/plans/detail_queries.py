@@ -34,16 +34,11 @@ def centroid_first_dimension(spark, sf):
 def health_report(spark, sf):
     """One row of counts; each is an aggregate of its own table."""
     c, p = model.concepts(spark, sf), model.patches(spark, sf)
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [
-        n(c, "concepts"), n(c.where(temporal.never_ended()), "live"), n(model.edges(spark, sf), "edges"), n(p, "patches"), n(p.where("content is null"), "empty_patches"),
-        n(c.join(model.vectors(spark, sf).select("concept_id"), "concept_id", "left_anti"), "without_vector"), n(c.where("description is null"), "without_description"),
-        n(model.turns(spark, sf), "turns"), model.table(spark, sf, "session_lines").agg(F.countDistinct("session_id").alias("sessions")),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.join(x)  # one row each
-    return out
+    return audit.counted({
+        "concepts": c, "live": c.where(temporal.never_ended()), "edges": model.edges(spark, sf), "patches": p, "empty_patches": p.where("content is null"),
+        "without_vector": c.join(model.vectors(spark, sf).select("concept_id"), "concept_id", "left_anti"), "without_description": c.where("description is null"),
+        "turns": model.turns(spark, sf), "sessions": model.table(spark, sf, "session_lines").where("session_id is not null").select("session_id").distinct(),
+    })
 
 
 _LIVE = f"(invalid_at IS NULL OR invalid_at > TIMESTAMPTZ '{AT}') AND (expired_at IS NULL OR expired_at > TIMESTAMPTZ '{AT}') AND c.namespace IN ('global', 'atlas', 'intake')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import model
-from ..operators import graph, sessions, writes
+from ..operators import audit, graph, sessions, writes
 from ._register import Registry
 from .graph_queries import AT, NOW
 
@@ -89,7 +89,7 @@ def source_detach(spark, sf):
     s = _sources(spark, sf)
     links = model.concepts(spark, sf).where("url is not null").select(F.col("concept_id").alias("src"), F.col("url").alias("dst"))
     nodes, edges = writes.detach(s, links, s.where(F.contains("url", F.lit("1"))), "url")
-    return nodes.agg(F.count("*").alias("sources")).join(edges.agg(F.count("*").alias("links")))
+    return audit.counted({"sources": nodes, "links": edges})
 
 
 _CAUSES = "causes AS (SELECT concept_id, CASE WHEN concept_id % 4 = 0 THEN 'moved elsewhere' ELSE (SELECT min(name) FROM concepts) END AS cause FROM concepts WHERE concept_id % 2 = 0), target AS (SELECT min(concept_id) AS id FROM concepts WHERE name = (SELECT min(name) FROM concepts))"
